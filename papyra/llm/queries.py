@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix
+from .simhash import near_duplicates
 from .tokens import count_tokens, load_vocabulary
 from .topk import top_k
 
@@ -33,8 +34,12 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary, TOKEN_LIMIT)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, seed=42, t=2, blocks=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op5_topk": op5_topk, "op8_tokens": op8_tokens}
+    return {"op1_mix": op1_mix, "op5_topk": op5_topk, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:

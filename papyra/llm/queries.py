@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix
+from .pii import find_pii
 from .simhash import near_duplicates
 from .tokens import count_tokens, load_vocabulary
 from .topk import top_k
@@ -38,8 +39,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, seed=42, t=2, blocks=2)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents", "doc_id", "text")).drop("found")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op5_topk": op5_topk, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash}
+    return {"op1_mix": op1_mix, "op5_topk": op5_topk, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:

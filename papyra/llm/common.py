@@ -45,3 +45,18 @@ BROADCAST_ROWS = 20_000
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, already cut, with a broadcast hint only if its counted rows are within ``limit``."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def bounded_sample(df: DataFrame, by: str, per_value: int, key: str, values: int = 1000) -> DataFrame:
+    """About ``per_value`` rows of each value of ``by``, the same rows on every run.
+
+    Rows are kept by a hash of ``key`` against their value's share, so the sample needs counts and
+    one filter, no shuffle of rows. Nulls in ``by`` are left out; ``values`` bounds how many values
+    are taken, the most frequent first.
+    """
+    counts = df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(values).collect()
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 30))
+    keep = F.lit(False)
+    for r in counts:
+        keep = keep | ((F.col(by) == F.lit(r[by])) & (draw < F.lit(min(1 << 30, (per_value << 30) // r["count"]))))
+    return df.where(keep)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import langid
+from .common import held_out, table
 from .mixing import mix
 from .pii import find_pii
 from .simhash import near_duplicates
@@ -28,6 +29,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", held_out("doc_id"))
+    net = langid.fit(docs, ~F.col("held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), net)
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op5_topk": op5_topk, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
+    return {"op1_mix": op1_mix, "op5_topk": op5_topk, "op7_langid": op7_langid, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -200,7 +200,7 @@ def _fit(phi: tuple[np.ndarray, np.ndarray], y: np.ndarray, marks: tuple[np.ndar
     return table, float(weight[-1])
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 5) -> Machine:
+def train(texts: list[str], toxic: list[int], share: float | None = None, seed: int = 5) -> Machine:
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return Machine(np.zeros(1, np.float32), 0.0, 1.0, 0.0, float(y.mean()) if len(y) else 0.0)
@@ -251,12 +251,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Machine:
     held = np.flatnonzero(fold) if fold.any() else own
     z = read([texts[i] for i in held])
     d, target = np.maximum.reduceat(machine.decisions(z), z.first), y[held]
-    a, b = 3.0, 0.0
+    # texts count so that the classes have their shares in the whole corpus, not in the sample
+    base = min(max(share if share is not None else y.mean(), 0.01), 0.99)
+    weight = np.where(target == 1, base / max(1, target.sum()), (1 - base) / max(1, (1 - target).sum())) * len(target)
     up, down = (target.sum() + 1) / (target.sum() + 2), 1 / (len(target) - target.sum() + 2)
-    soft, share = np.where(target == 1, up, down), 1 / len(target)
-    for _ in range(3000):
-        e = (1 / (1 + np.exp(-(a * d + b))) - soft) * share
-        a, b = max(0.1, a - 2 * (e * d).sum()), b - 2 * e.sum()
+    soft, design, ab = np.where(target == 1, up, down), np.stack((d, np.ones(len(d))), axis=1), np.array([1.0, 0.0])
+    for _ in range(100):  # Newton steps, damped by a small ridge
+        p = 1 / (1 + np.exp(-np.clip(design @ ab, -30, 30)))
+        step = np.linalg.solve((design.T * (weight * p * (1 - p))) @ design + 0.05 * np.eye(2), design.T @ (weight * (p - soft)) + 0.05 * ab)
+        ab = ab - np.clip(step, -1, 1)
+    a, b = max(0.1, ab[0]), ab[1]
     return Machine(machine.table, machine.offset, float(a), float(b))
 
 
@@ -269,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id
     drawn = F.broadcast(drawn.limit(4 * per_class))
     rows = docs.where(F.col(text).isNotNull()).select(key, text).join(drawn, key).collect()
     rows.sort(key=lambda r: (r[key], r[label], r[text]))
-    return train([r[text] for r in rows], [r[label] for r in rows])
+    share = labels.where(F.col(label).isin(0, 1) & learn).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return train([r[text] for r in rows], [r[label] for r in rows], share)
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:

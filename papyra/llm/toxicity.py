@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import bounded_sample
 
 #: Labelled documents of each class that the machine is fitted on; landmarks; rounds of choosing stretches.
-FIT_DOCS, LANDMARKS, ROUNDS = 1500, 320, 4
+FIT_DOCS, LANDMARKS, ROUNDS = 1000, 320, 4
 #: Kernel: letters that a subsequence spans after its first, discount for each, first letters in a stretch.
 SPAN, DECAY, STARTS = 5, 0.75, 6
 #: Characters worked on together.
@@ -98,7 +98,7 @@ def read(texts: list[str | None]) -> Letters:
         starts = np.flatnonzero(space)
     code[starts] = START
     ends = np.concatenate((starts[1:], [len(code)]))
-    room = np.repeat(ends, ends - starts) - np.arange(len(code))
+    room = (np.repeat(ends, ends - starts) - np.arange(len(code))).astype(np.int32)
     return Letters(code.astype(np.int32), room, np.flatnonzero(is_head))
 
 
@@ -144,6 +144,15 @@ class Machine:
         size = norm[end] - norm[:n]
         return np.where(size > 1e-6, (run[end] - run[:n]) / np.sqrt(np.maximum(size, 1e-6)) + self.offset, -2.0)
 
+    def decisions_by_part(self, x: Letters) -> np.ndarray:
+        """``decisions``, worked out for some texts at a time."""
+        cuts, out = [0], []
+        for f in [*x.first[1:].tolist(), len(x.code)]:
+            if f - cuts[-1] >= CHARS or f == len(x.code):
+                out.append(self.decisions(Letters(x.code[cuts[-1] : f], x.room[cuts[-1] : f], x.first[:0])).astype(np.float32))
+                cuts.append(f)
+        return np.concatenate(out)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
@@ -160,14 +169,29 @@ class Machine:
 
 
 def _best(score: np.ndarray, x: Letters, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``count`` best stretches of each text, a word's length apart: positions and texts."""
-    text = np.zeros(len(x.code), np.int64)
-    text[x.first[1:]] = 1
-    text = np.cumsum(text)
-    order = np.lexsort((-score, text))
-    rank = np.arange(len(order)) - x.first[text[order]]
-    pick = order[rank < count]
-    return pick, text[pick]
+    """The ``count`` best stretches of each text: positions and texts."""
+    ends = np.append(x.first[1:], len(x.code))
+    picks = [s + np.argsort(-score[s:e], kind="stable")[:count] for s, e in zip(x.first, ends, strict=True)]
+    return np.concatenate(picks), np.repeat(np.arange(len(picks)), [len(p) for p in picks])
+
+
+def _guess(gram: np.ndarray, x: Letters, label: np.ndarray) -> np.ndarray:
+    """A first score of each stretch: how much commoner its first five symbols are in toxic texts than in clean ones."""
+    ends = np.append(x.first[1:], len(x.code))
+    own = [np.unique(gram[s:e]) for s, e in zip(x.first, ends, strict=True)]
+    names, toxic = np.unique(np.concatenate([g for g, y in zip(own, label, strict=True) if y]), return_counts=True)
+    clean = np.zeros(len(names), np.int64)
+    for g, y in zip(own, label, strict=True):
+        if not y:
+            at = np.searchsorted(names, g).clip(0, len(names) - 1)
+            clean[at[names[at] == g]] += 1
+    p, q = (toxic + 0.1) / (label.sum() + 1), (clean + 0.5) / ((label == 0).sum() + 1)
+    worth = np.where(toxic > 1, np.sqrt(p) * np.log(p / q), -9).astype(np.float32)
+    out = np.empty(len(gram), np.float32)
+    for s, e in zip(x.first, ends, strict=True):
+        at = np.searchsorted(names, gram[s:e]).clip(0, len(names) - 1)
+        out[s:e] = np.where((names[at] == gram[s:e]) & (x.room[s:e] >= 4), worth[at], -9)
+    return out
 
 
 def _fit(phi: tuple[np.ndarray, np.ndarray], y: np.ndarray, marks: tuple[np.ndarray, np.ndarray], cost: float = 3.0) -> tuple[np.ndarray, float]:
@@ -210,22 +234,15 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, seed:
         fold = np.zeros(len(y), bool)
     own = np.flatnonzero(~fold)
     x, label = read([texts[i] for i in own]), y[own]
-    text = np.zeros(len(x.code), np.int64)
+    text = np.zeros(len(x.code), np.int32)
     text[x.first[1:]] = 1
-    text = np.cumsum(text)
+    text = np.cumsum(text, dtype=np.int32)
 
-    # the first guess: stretches whose first five symbols are commoner in toxic texts than in clean ones
-    c = np.concatenate((x.code, np.zeros(4, np.int32))).astype(np.int64)
-    gram = np.zeros(len(x.code), np.int64)
+    c = np.concatenate((x.code, np.zeros(4, np.int32)))
+    gram = np.zeros(len(x.code), np.int32)
     for k in range(5):
         gram = gram * SYMBOLS + np.where(x.room > k, c[k : len(x.code) + k], 0)
-    grams, inverse = np.unique(gram, return_inverse=True)
-    seen = np.unique(inverse.astype(np.int64) * len(own) + text)
-    g, t = seen // len(own), seen % len(own)
-    in_toxic, in_clean = np.bincount(g[label[t] == 1], minlength=len(grams)), np.bincount(g[label[t] == 0], minlength=len(grams))
-    p, q = (in_toxic + 0.1) / ((label == 1).sum() + 1), (in_clean + 0.5) / ((label == 0).sum() + 1)
-    guess = np.where((in_toxic > 1) & (x.room[np.unique(inverse, return_index=True)[1]] >= 4), np.sqrt(p) * np.log(p / q), -9)
-    score, machine = guess[inverse], None
+    score, machine = _guess(gram, x, label), None
     usable = np.flatnonzero(x.room >= 3)
     clean_places = usable[label[text[usable]] == 0]
     for turn in range(ROUNDS):
@@ -245,7 +262,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, seed:
         at = np.concatenate((positive, negative))
         sign = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
         machine = Machine(*_fit(subsequences(x, at), sign, subsequences(x, marks)), 1.0, 0.0)
-        score = machine.decisions(x)
+        score = machine.decisions_by_part(x)
     if machine is None:
         return Machine(np.zeros(1, np.float32), 0.0, 1.0, 0.0, float(y.mean()))
     held = np.flatnonzero(fold) if fold.any() else own

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import html_text, langid, toxicity
 from .common import held_out, table
 from .mixing import mix
 from .pii import find_pii
@@ -25,6 +25,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), weights=SOURCE_WEIGHTS, share=1.0, max_copies=3, seed=7)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"), html_text.train())
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -58,7 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op3_toxicity": op3_toxicity, "op5_topk": op5_topk, "op7_langid": op7_langid, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
+    return {"op1_mix": op1_mix, "op2_html": op2_html, "op3_toxicity": op3_toxicity, "op5_topk": op5_topk, "op7_langid": op7_langid, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:

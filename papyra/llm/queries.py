@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import html_text, langid, toxicity
 from .common import held_out, table
+from .decontam import find_leaks
 from .mixing import mix
 from .pii import find_pii
 from .simhash import near_duplicates
@@ -36,6 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held_out("doc_id")), machine)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -62,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_html": op2_html, "op3_toxicity": op3_toxicity, "op5_topk": op5_topk, "op7_langid": op7_langid, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
+    return {"op1_mix": op1_mix, "op2_html": op2_html, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_topk": op5_topk, "op7_langid": op7_langid, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:

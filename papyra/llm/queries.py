@@ -12,6 +12,7 @@ from .common import held_out, table
 from .decontam import find_leaks
 from .mixing import mix
 from .pii import find_pii
+from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .tokens import count_tokens, load_vocabulary
 from .topk import top_k
@@ -45,6 +46,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), width=100)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", held_out("doc_id"))
     net = langid.fit(docs, ~F.col("held_out"))
@@ -67,7 +72,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_html": op2_html, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_topk": op5_topk, "op7_langid": op7_langid, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
+    return {"op1_mix": op1_mix, "op2_html": op2_html, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_topk": op5_topk, "op6_repeats": op6_repeats, "op7_langid": op7_langid, "op8_tokens": op8_tokens, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:

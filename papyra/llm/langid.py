@@ -229,9 +229,11 @@ def fit(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "tex
     return train([(r[text], r[lang]) for r in rows])
 
 
-def identify(docs: DataFrame, net: ByteGru | None, *, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score in place of ``text`` unless ``text`` is wanted by the caller's select."""
-    fields = [f for f in docs.schema.fields if f.name != text]
+def identify(docs: DataFrame, net: ByteGru | None, *, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score added; ``text`` itself goes unless ``keep_text``."""
+    at_text = docs.columns.index(text)
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at_text]
+    fields = [docs.schema.fields[i] for i in kept]
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,12 +241,12 @@ def identify(docs: DataFrame, net: ByteGru | None, *, text: str = "text") -> Dat
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                texts = batch.column(batch.num_columns - 1).to_pylist()
+                texts = batch.column(at_text).to_pylist()
                 p = reader.pool(texts) if reader else np.zeros((len(texts), 1))
                 best = p.argmax(axis=1)
                 score = p[np.arange(len(p)), best]
                 pred = [reader.net.labels[b] if s > 0 else "und" for b, s in zip(best, score, strict=True)] if reader else ["und"] * len(texts)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score.clip(0, 1), pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(pred, pa.string()), pa.array(score.clip(0, 1), pa.float64())], names=schema.names)
 
-    out = docs.select(*[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields)], F.col(text).alias("t")).mapInArrow(run, schema)
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)
     return out.toDF(*[f.name for f in fields], "lang_pred", "score")

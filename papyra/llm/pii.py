@@ -196,67 +196,105 @@ def fit_classifier(kinds: list[str], votes: list[str], features: list[list[int]]
     return w
 
 
-def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found.
+class Judge:
+    """The trained span classifier: strict matches stay, other candidates it believes in are added."""
 
-    ``found`` is the array of (kind, start, end) that ``spans`` writes as text. Columns named in
-    ``carry`` travel along, so that a caller who needs the text does not join it back.
-    """
-    carry = carry or []
-    kept = [docs.schema[c] for c in [key, *carry]]
-    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)), T.StructField("candidates", T.ArrayType(CANDIDATE))])
-    arrow_kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def spans(self, candidates: list[dict]) -> tuple[list[tuple], list[tuple]]:
+        """Base spans, and all spans, as (start, kind number, end) in order."""
+        base = sorted((c["start"], KINDS.index(c["kind"]), c["end"]) for c in candidates if c["base"])
+        added, extra = [], [c for c in candidates if not c["base"]]
+        if extra:
+            belief = _design([c["kind"] for c in extra], [c["votes"] for c in extra], [c["features"] for c in extra]) @ self.weights
+            for c, s in sorted(zip(extra, belief, strict=True), key=lambda x: (-x[1], x[0]["start"], x[0]["end"])):
+                if s > 0 and all(c["end"] <= o[0] or c["start"] >= o[2] for o in base + added):
+                    added.append((c["start"], KINDS.index(c["kind"]), c["end"]))
+        return base, sorted(base + added)
+
+
+ARROW_CANDIDATES = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
+
+
+def candidate_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """c0 (the key) and the array of candidates of each row's text."""
+    schema = T.StructType([T.StructField("c0", docs.schema[key].dataType), T.StructField("candidates", T.ArrayType(CANDIDATE))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                found = [find_candidates(t) if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow_kind)], names=schema.names)
+                found = [find_candidates(t) if t else [] for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, ARROW_CANDIDATES)], names=schema.names)
+
+    return docs.select(key, text).mapInArrow(look, schema)
 
-    looked = cut(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate([key, *carry])], F.col(text).alias("t")).mapInArrow(look, schema))
+
+def fit(looked: DataFrame) -> Judge:
+    """Reliabilities from the votes of all candidates, then the classifier on a bounded sample of them."""
     each = looked.select("c0", F.explode("candidates").alias("c")).select("c0", "c.*")
     counts = each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # at most 5 * 3**6 patterns
     posterior, _ = estimate_reliability(sorted((r["kind"], r["votes"], r["n"]) for r in counts))
     sample = each.orderBy(F.xxhash64("c0", "start", "end"), "kind", "start").select("kind", "votes", "features").limit(FIT_ROWS).collect()
     target = np.array([posterior[r["kind"], r["votes"]] for r in sample])
-    weights = fit_classifier([r["kind"] for r in sample], [r["votes"] for r in sample], [r["features"] for r in sample], target)
+    return Judge(fit_classifier([r["kind"] for r in sample], [r["votes"] for r in sample], [r["features"] for r in sample], target))
+
 
-    out_fields = [*(T.StructField(f.name if i else "doc_id", f.dataType) for i, f in enumerate(kept)), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found.
+
+    ``found`` is the array of (kind, start, end) that ``spans`` writes as text. Texts are read once;
+    what the second step works on is the small table of candidates.
+    """
+    looked = cut(candidate_rows(docs, key, text))
+    judge = fit(looked)
+    out_fields = [T.StructField("doc_id", docs.schema[key].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     found_kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        say = lambda rows: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in rows)
         for batch in batches:
             counts: list[list[int]] = [[] for _ in BASE_KINDS]
             digests, spans, founds = [], [], []
-            for cands in batch.column(batch.num_columns - 1).to_pylist():
-                cands = cands or []
-                base = sorted([(c["start"], KINDS.index(c["kind"]), c["end"]) for c in cands if c["base"]])
-                added, extra = [], [c for c in cands if not c["base"]]
-                if extra:
-                    p = _design([c["kind"] for c in extra], [c["votes"] for c in extra], [c["features"] for c in extra]) @ weights
-                    for c, s in sorted(zip(extra, p, strict=True), key=lambda x: (-x[1], x[0]["start"], x[0]["end"])):
-                        if s > 0 and all(c["end"] <= o[0] or c["start"] >= o[2] for o in base + added):
-                            added.append((c["start"], KINDS.index(c["kind"]), c["end"]))
-                say = lambda rows: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in rows)
-                every = sorted(base + added)
+            for cands in batch.column(1).to_pylist():
+                base, every = judge.spans(cands or [])
                 for j in range(len(BASE_KINDS)):
                     counts[j].append(sum(k == j for _, k, _ in base))
                 digests.append(hashlib.sha256(say(base).encode()).hexdigest())
                 spans.append(say(every))
                 founds.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in every])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(spans, pa.string()), pa.array(founds, found_kind)], names=[f.name for f in out_fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(founds, found_kind)], names=[f.name for f in out_fields])
 
     return looked.mapInArrow(decide, T.StructType(out_fields))
 
 
-def redact(text: str | None, found: list[dict]) -> str | None:
-    """``text`` with each found span replaced by its kind in brackets; overlapping spans are replaced as one."""
+def redact(text: str | None, found: list[tuple]) -> str | None:
+    """``text`` with each (start, kind number, end) replaced by its kind in brackets; overlapping spans are replaced as one."""
     if text is None or not found:
         return text
     out, at = [], 0
-    for s in sorted(found, key=lambda x: (x["start"], -x["end"])):
-        if s["start"] >= at:
-            out += [text[at : s["start"]], f"[{s['kind']}]"]
-        at = max(at, s["end"])
+    for start, kind, end in sorted(found, key=lambda x: (x[0], -x[2])):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind]}]"]
+        at = max(at, end)
     return "".join(out) + text[at:]
+
+
+def redact_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with all found spans in ``text`` replaced. Texts are scanned twice rather than stored or joined."""
+    seen = candidate_rows(docs, key, text).where(F.size("candidates") > 0)
+    judge, at_text = fit(cut(seen)), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = batch.column(at_text).to_pylist()
+                new = [redact(t, judge.spans(find_candidates(t))[1]) if t else t for t in texts]
+                cols = list(batch.columns)
+                cols[at_text] = pa.array(new, cols[at_text].type)
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    return docs.toDF(*schema.names).mapInArrow(run, schema).toDF(*docs.columns)

@@ -234,3 +234,157 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, seed: int = 42, t: int =
     common = prints.join(hot, "fp")
     rest = prints.join(hot, "fp", "left_anti").join(names.where(F.col("n") * 10_000 <= total).select("fp", "component_id"), "fp")
     return common.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- similar documents: long sketches, many covers of short parts of them, links confirmed on the whole sketch
+
+#: Bits of a sketch, in lanes of 64; expected share of equal documents' pairs that meet in one table or more.
+LANES, RECALL = 4, 0.95
+#: Nodes that anchors of 23 bits alone tell apart well enough; beyond, tables add exact bits and grow in number.
+PLAIN_NODES = 1 << 18
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits between sketches of sets with this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def plan_tables(n_nodes: int, similarity: float, t: int) -> tuple[int, int]:
+    """Tables and exact bits so that a pair at the threshold meets with probability ``RECALL``, at any size."""
+    exact = max(0, int(np.ceil(np.log2(max(1, n_nodes) / PLAIN_NODES))))
+    p = differing_share(similarity)
+    near = sum(float(np.prod([(GOLAY_N - j) / (j + 1) for j in range(i)])) * p**i * (1 - p) ** (GOLAY_N - i) for i in range(t + 1))
+    meet = near * (1 - p) ** exact
+    return max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet)))), exact
+
+
+def sketch(text: str | None, words: int, seed: int) -> bytes:
+    """Bitwise majority of the shingles' hashes in LANES * 64 bits, each lane mixed from the same hash."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return bytes(8 * LANES)
+    joined = memoryview(b" ".join(tokens))
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(tokens) - words + 1)
+    first, last, digest = starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), xxhash.xxh64_digest
+    sums = np.zeros(64 * LANES, np.int64)
+    for at in range(0, n, SHINGLES // LANES):
+        raw = b"".join([digest(joined[a:b], seed) for a, b in zip(first[at : at + SHINGLES // LANES], last[at : at + SHINGLES // LANES], strict=True)])
+        h = np.frombuffer(raw, np.uint64)
+        lanes = []
+        for k in range(LANES):
+            x = (h ^ np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            lanes.append(x ^ (x >> np.uint64(32)))
+        bits = np.unpackbits(np.ascontiguousarray(np.stack(lanes, axis=1)).view(np.uint8).reshape(len(h), 8 * LANES), axis=1)
+        sums += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > n).tobytes()
+
+
+def _similar(limit: int):
+    """mapInArrow over rows (bucket, home, node, sketch) sorted by bucket, homes first: stars of confirmed links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(bucket: np.ndarray, home: np.ndarray, node: np.ndarray, lanes: np.ndarray) -> pa.RecordBatch:
+            edge = np.flatnonzero(np.diff(bucket)) + 1
+            start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(bucket)]))
+            homes = np.add.reduceat(home.astype(np.int64), start)
+            a, b = [], []
+            for s, e, h in zip(start.tolist(), end.tolist(), homes.tolist(), strict=True):
+                if not h or e - s < 2:
+                    continue
+                label, step = np.arange(e - s), max(1, CELLS // (4 * (e - s)))
+                for at in range(s, s + h, step):
+                    stop = min(at + step, s + h)
+                    # one lane is enough to turn nearly all pairs away
+                    i, j = np.nonzero(np.bitwise_count(lanes[at:stop, None, 0] ^ lanes[None, s:e, 0]) <= 64 * limit // (64 * LANES) + 12)
+                    far = np.bitwise_count(lanes[at + i] ^ lanes[s + j]).sum(axis=1, dtype=np.int64)
+                    near = far <= limit
+                    i, j = i[near] + at - s, j[near]
+                    while True:
+                        low = np.minimum(label[i], label[j])
+                        new = label.copy()
+                        np.minimum.at(new, label[i], low)
+                        np.minimum.at(new, label[j], low)
+                        new = new[new]
+                        if (new == label).all():
+                            break
+                        label = new
+                while (label != label[label]).any():
+                    label = label[label]
+                moved = np.flatnonzero(label != np.arange(e - s))
+                a.append(node[s + moved])
+                b.append(node[s + label[moved]])
+            empty = [np.zeros(0, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or empty)), pa.array(np.concatenate(b or empty))], names=["a", "b"])
+
+        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LANES)
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), raw]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if done:
+                yield work(*[x[:done] for x in held])
+                held = [x[done:] for x in held]
+        if len(held[0]):
+            yield work(*held)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, t: int = 2, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id for each row: groups linked by sketches as near as those of sets of ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(x.as_py(), words, seed) for x in batch.column(1)], pa.binary())], names=["doc_id", "sketch"])
+
+    prints = docs.select(key, text).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("sketch", T.BinaryType())]))
+    prints = cut(prints.withColumn("node", F.xxhash64("sketch")))
+    nodes = cut(prints.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    n_nodes = nodes.count()
+    tables, exact = plan_tables(n_nodes, similarity, t)
+    rng = np.random.default_rng(seed)
+    picks = [rng.permutation(64 * LANES)[: GOLAY_N + exact] for _ in range(tables)]
+    limit = round(64 * LANES * (differing_share(similarity) + 0.008))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = GolayBlock(t)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                node, raw = batch.column(0).to_numpy(), batch.column(1)
+                bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(np.uint64)
+                for k, pick in enumerate(picks):
+                    word = (bits[:, pick[:GOLAY_N]] << np.arange(GOLAY_N, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+                    more = (bits[:, pick[GOLAY_N:]] << np.arange(exact, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(np.int64)
+                    home, row, anchor = cover(word, 1, t, golay)
+                    rows = np.concatenate((np.arange(len(node)), row))
+                    name = ((more[rows] * 4096) + np.concatenate((home, anchor))) * tables + k
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.arange(len(rows)) < len(node)), pa.array(node[rows]), raw.take(pa.array(rows))], names=["bucket", "home", "node", "sketch"])
+
+    rows = nodes.select("node", "sketch").mapInArrow(emit, "bucket long, home boolean, node long, sketch binary")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * tables // 100_000)
+    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
+    roots = components(dealt.mapInArrow(_similar(limit), "a long, b long"))
+    named = cut(nodes.join(roots, "node", "left").select("node", "least_id", "n", F.coalesce("root", "node").alias("root")))
+    names = cut(named.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "n", "component_id"))
+    total = prints.count()
+    hot = F.broadcast(names.where(F.col("n") * 10_000 > total).select("node", "component_id"))  # fewer than 10,000
+    rest = prints.join(hot, "node", "left_anti").join(names.where(F.col("n") * 10_000 <= total).select("node", "component_id"), "node")
+    return prints.join(hot, "node").unionByName(rest).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:
+    """``docs`` with one document, the one of the least id, of each group of ``similar_groups``; one row of rows that share an id."""
+    groups = cut(similar_groups(docs, key=key, **how))
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("component_id").alias("kinds")).where("n > 1").select(F.col("doc_id").alias("again_id"))
+    again = cut(again)
+    kept = docs.join(gone, F.col(key).eqNullSafe(gone["gone_id"]), "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, kept[key] == again["again_id"], "left_semi").dropDuplicates([key])
+    return kept.join(again, kept[key] == again["again_id"], "left_anti").unionByName(repeated)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,12 @@ def bounded_sample(df: DataFrame, by: str, per_value: int, key: str, values: int
     for r in counts:
         keep = keep | ((F.col(by) == F.lit(r[by])) & (draw < F.lit(min(1 << 30, (per_value << 30) // r["count"]))))
     return df.where(keep)
+
+
+def release() -> None:
+    """In a Python worker: give what earlier groups have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass

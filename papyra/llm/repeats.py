@@ -38,8 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release
+
 #: Bytes of an anchor's q-gram; text bytes of a batch, about; bytes looked at together; occurrences of an anchor that one bucket takes.
-Q, BATCH_BYTES, PART, HEAVY = 24, 6_000_000, 1_000_000, 30_000
+Q, BATCH_BYTES, PART, HEAVY = 24, 3_000_000, 1_000_000, 30_000
 #: Bits of a position in the sliding minimum; longer texts are read in pieces.
 PLACE = 24
 
@@ -240,6 +242,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, key: str = "doc_id", te
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)))
 
     def report(key: tuple, docs: pa.Table) -> pa.Table:
+        release()
         b, batch = Batch(docs), key[0].as_py()
         found = [h for _, _, _, h in anchors(b.buf, b.starts, b.lengths, width)]
         if not found:
@@ -249,6 +252,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, key: str = "doc_id", te
         return _table([_message(k, batch, DISTINCT, names[i], np.minimum(count[i], 2**31 - 1).astype(np.uint32)) for k, i in _by_bucket(bucket)])
 
     def answer(key: tuple, sent: pa.Table) -> pa.Table:
+        release()
         lists = [np.frombuffer(x, np.uint64) for x in sent.column("a").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in sent.column("b").to_pylist()]).astype(np.int64)
         names, inverse = np.unique(np.concatenate(lists), return_inverse=True)
@@ -262,6 +266,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, key: str = "doc_id", te
         return _table(out)
 
     def send(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        release()
         if not docs.num_rows or not told.num_rows:
             return _table([])
         b, batch = Batch(docs), key[0].as_py()
@@ -305,6 +310,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, key: str = "doc_id", te
         return _table(out)
 
     def decide(key: tuple, sent: pa.Table) -> pa.Table:
+        release()
         kinds, out = sent.column("kind").to_numpy(), []
         own = sent.filter(pa.array(kinds == DEFAULT))
         out += [(0, *r[1:]) for r in zip(*(own.column(c).to_pylist() for c in MESSAGE.names), strict=True)]
@@ -337,6 +343,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, key: str = "doc_id", te
     fields += [T.StructField("kept", T.BinaryType())] if keep_text else []
 
     def remove(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        release()
         b = Batch(docs)
         go = np.zeros(len(b.buf) + 1, np.int32)
         for kind, *raw in zip(*(told.column(c).to_pylist() for c in ("kind", "a", "b", "c")), strict=True):
@@ -344,12 +351,12 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, key: str = "doc_id", te
             sign = 1 if kind == DEFAULT else -1
             np.add.at(go, b.starts[doc] + lo, sign)
             np.add.at(go, b.starts[doc] + hi + 1, -sign)
-        go = np.cumsum(go[:-1]) > 0
+        go = np.cumsum(go[:-1], dtype=np.int32) > 0
         cover = np.zeros(len(go) + width + 1, np.int32)
         edge = np.diff(np.concatenate(([0], go.astype(np.int8), [0])))
         np.add.at(cover, np.flatnonzero(edge == 1), 1)
         np.add.at(cover, np.flatnonzero(edge == -1) - 1 + width, -1)
-        gone = np.cumsum(cover)[: len(go)] > 0
+        gone = np.cumsum(cover, dtype=np.int32)[: len(go)] > 0
         n_removed, n_spans, digests, kept = [], [], [], []
         for s, n in zip(b.starts.tolist(), b.lengths.tolist(), strict=True):
             g = gone[s : s + n]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyra.functions.binding import let
 from papyra.functions.text import is_trivial
 
 CHUNK_CHARS, CLIP, OPENING_CAP, OPENING_FLOOR, MIN_KEY_CHARS, SAMPLE_CHARS = 1000, 600, 6000, 150, 200, 6000
@@ -103,17 +104,20 @@ def total_length(items: Column) -> Column:
 
 def opening(paras: Column) -> Column:
     """Struct (parts, budget): the first paragraphs of a fifth of the text, bounded; the one that crosses is kept."""
-    usable = F.filter(paras, lambda p: ~is_trivial(p))
-    total = total_length(usable)
-    budget = F.least(F.lit(OPENING_CAP), total, F.greatest(F.lit(OPENING_FLOOR), F.floor(total / 5)))
-    seed = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("used"))
 
-    def add(s: Column, p: Column) -> Column:
-        part = F.substring(p, 1, CLIP)
-        more = (F.size(s["parts"]) == 0) | (s["used"] < budget)
-        return F.struct(F.when(more, F.concat(s["parts"], F.array(part))).otherwise(s["parts"]).alias("parts"), F.when(more, s["used"] + F.length(part)).otherwise(s["used"]).alias("used"))
+    def of(usable: Column) -> Column:
+        total = total_length(usable)
+        budget = F.least(F.lit(OPENING_CAP), total, F.greatest(F.lit(OPENING_FLOOR), F.floor(total / 5))).cast("long")
+        seed = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("used"), budget.alias("budget"))
+
+        def add(s: Column, p: Column) -> Column:
+            part = F.substring(p, 1, CLIP)
+            more = (F.size(s["parts"]) == 0) | (s["used"] < s["budget"])
+            return F.struct(F.when(more, F.concat(s["parts"], F.array(part))).otherwise(s["parts"]).alias("parts"), F.when(more, s["used"] + F.length(part)).otherwise(s["used"]).alias("used"), s["budget"].alias("budget"))
+
+        return F.aggregate(usable, seed, add, lambda s: F.struct(s["parts"].alias("parts"), s["budget"].alias("budget")))
 
-    return F.struct(F.aggregate(usable, seed, add, lambda s: s["parts"]).alias("parts"), budget.cast("long").alias("budget"))
+    return let(F.filter(paras, lambda p: ~is_trivial(p)), of)
 
 
 def sizing(paras: Column) -> Column:
@@ -123,31 +127,32 @@ def sizing(paras: Column) -> Column:
     return F.struct(bound(F.floor(total / 20), 3000, 20000).alias("excerpt"), bound(F.floor(total / 4000), 25, 80).alias("terms"))
 
 
-def stride_order(n: Column, stride: Column) -> Column:
-    """0, stride, 2 stride, ..., 1, stride + 1, ...: every place below n once."""
-    return F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct((i % stride).alias("turn"), i.alias("i")))), lambda s: s["i"])
-
-
 def stride_sample(paras: Column, budget: int = SAMPLE_CHARS) -> Column:
     """Places of the usable paragraphs that an excerpt of ``budget`` characters shows, spread over the document.
 
-    Rounds stop after the one that reaches 98 % of the budget; an item that would overflow is passed over.
+    A stride is walked from place 0, then from 1, and so on; the walk that reaches 98 % of the budget
+    is the last, and an item that would overflow is passed over.
     """
-    usable = F.transform(F.filter(paras, lambda p: ~is_trivial(p)), lambda p: F.substring(p, 1, CLIP))
-    total, n = total_length(usable), F.size(usable)
-    stride = F.greatest(F.lit(2), F.bround(total / budget)).cast("int")
-    seed = F.struct(F.array().cast("array<int>").alias("taken"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("turn"), F.lit(False).alias("done"))
-
-    def add(s: Column, i: Column) -> Column:
-        turn = i % stride
-        done = s["done"] | ((turn != s["turn"]) & (s["used"] >= budget * 0.98))
-        size = F.length(F.get(usable, i))
-        fits = ~done & (s["used"] + size <= budget)
-        return F.struct(F.when(fits, F.concat(s["taken"], F.array(i))).otherwise(s["taken"]).alias("taken"), F.when(fits, s["used"] + size).otherwise(s["used"]).alias("used"), turn.alias("turn"), done.alias("done"))
-
-    spread = F.array_sort(F.aggregate(stride_order(n, stride), seed, add, lambda s: s["taken"]))
-    every = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    return F.when(n == 0, F.array().cast("array<int>")).when(total <= budget, every).otherwise(spread)
+    ints = F.array().cast("array<int>")
+
+    def walk(v: Column) -> Column:
+        order = F.array_sort(F.transform(v["lens"], lambda n, i: F.struct((i % v["stride"]).alias("turn"), i.alias("i"), n.alias("n"))))
+        seed = F.struct(ints.alias("taken"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("turn"), F.lit(False).alias("done"))
+
+        def add(s: Column, x: Column) -> Column:
+            done = s["done"] | ((x["turn"] != s["turn"]) & (s["used"] >= budget * 0.98))
+            fits = ~done & (s["used"] + x["n"] <= budget)
+            return F.struct(F.when(fits, F.concat(s["taken"], F.array(x["i"]))).otherwise(s["taken"]).alias("taken"), F.when(fits, s["used"] + x["n"]).otherwise(s["used"]).alias("used"), x["turn"].alias("turn"), done.alias("done"))
+
+        spread = F.array_sort(F.aggregate(order, seed, add, lambda s: s["taken"]))
+        return F.when(v["total"] <= budget, F.transform(v["lens"], lambda _, i: i)).otherwise(spread)
+
+    def plan(lens: Column) -> Column:
+        total = F.aggregate(lens, F.lit(0).cast("long"), lambda a, n: a + n)
+        return let(F.struct(lens.alias("lens"), total.alias("total"), F.greatest(F.lit(2), F.bround(total / budget)).cast("int").alias("stride")), walk)
+
+    usable = F.filter(paras, lambda p: ~is_trivial(p))
+    return let(F.transform(usable, lambda p: F.least(F.length(p), F.lit(CLIP))), plan)
 
 
 def document_key(pages: DataFrame, key: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Chunks kept by a worker, and how many a single library call encodes.
-CACHE_LIMIT, ENCODE_SLICE = 300_000, 8_192
+CACHE_LIMIT, ENCODE_SLICE = 600_000, 8_192
 #: Rows of a batch that are worked on together.
 ROWS = 512
 
@@ -84,6 +84,17 @@ class PrefixCounter:
         return max(0, sum(len(c) + 1 for c in chunks[:k]) - 1)
 
 
+#: The counter of the vocabulary in use, kept between the tasks of a worker.
+_COUNTER: dict[str, PrefixCounter] = {}
+
+
+def _counter(tokenizer_json: str) -> PrefixCounter:
+    if tokenizer_json not in _COUNTER:
+        _COUNTER.clear()
+        _COUNTER[tokenizer_json] = PrefixCounter(tokenizer_json)
+    return _COUNTER[tokenizer_json]
+
+
 def load_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -101,7 +112,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int, *, key: str =
         fields += [T.StructField("prefix_chars", T.ArrayType(T.LongType())), T.StructField("prefix_tokens", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(tokenizer_json)
+        counter = _counter(tokenizer_json)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)

@@ -129,7 +129,7 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
             yield part, np.frombuffer(raw, np.uint8).reshape(len(part), n + 2)
 
 
-def train(samples: list[tuple[str, str]], steps: int = 900, batch: int = 256, rate: float = 0.01, seed: int = 11) -> ByteGru | None:
+def train(samples: list[tuple[str, str]], steps: int = 1500, batch: int = 256, rate: float = 0.01, seed: int = 11) -> ByteGru | None:
     """Network fitted by Adam on words drawn evenly from the languages of (text, language) samples."""
     words: dict[str, Counter] = {}
     for text, lang in samples:
@@ -138,24 +138,32 @@ def train(samples: list[tuple[str, str]], steps: int = 900, batch: int = 256, ra
     if not labels:
         return None
     rng, net = np.random.default_rng(seed), ByteGru(labels)
-    pool = []
+    # words by language and length, each with its share; a step draws words of one length from all languages
+    pool: list[dict[int, tuple[list[bytes], np.ndarray]]] = []
+    weight: Counter = Counter()
     for k in labels:
-        w, n = zip(*sorted(words[k].items()), strict=True)
-        share = np.array(n, float) ** 0.75
-        pool.append((w, share / share.sum()))
+        own: dict[int, list[bytes]] = {}
+        for w in sorted(words[k]):
+            own.setdefault(len(w), []).append(w)
+        pool.append({})
+        for n, some in own.items():
+            share = np.array([words[k][w] for w in some], float) ** 0.75
+            pool[-1][n] = (some, share / share.sum())
+            weight[n] += share.sum() / sum(words[k].values())
+    lengths = np.array(sorted(weight))
+    odds = np.array([weight[n] for n in lengths])
+    odds /= odds.sum()
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
+        n = int(rng.choice(lengths, p=odds))
         drawn, target = [], []
-        for i, (w, share) in enumerate(pool):
-            drawn += [w[j] for j in rng.choice(len(w), max(1, batch // len(pool)), p=share)]
-            target += [i] * max(1, batch // len(pool))
-        order = sorted(range(len(drawn)), key=lambda i: len(drawn[i]))
-        target = np.array(target)
-        total: dict[str, np.ndarray] = {k: np.zeros_like(x) for k, x in net.p.items()}
-        for some, seq in _by_length([drawn[i] for i in order]):
-            got = net.gradients(seq, target[[order[i] for i in some]])
-            for k, g in got.items():
-                total[k] += g * (len(some) / len(drawn))
+        for i, own in enumerate(pool):
+            if n in own:
+                some, share = own[n]
+                drawn += [some[j] for j in rng.choice(len(some), max(1, batch // len(pool)), p=share)]
+                target += [i] * max(1, batch // len(pool))
+        (_, seq), = _by_length(drawn)
+        total = net.gradients(seq, np.array(target))
         now = rate * min(1.0, step / 50) * (1 - step / (steps + 1)) ** 0.5
         for k, g in total.items():
             m[k] += 0.1 * (g - m[k])
@@ -229,10 +237,10 @@ def fit(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "tex
     return train([(r[text], r[lang]) for r in rows])
 
 
-def identify(docs: DataFrame, net: ByteGru | None, *, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and score added; ``text`` itself goes unless ``keep_text``."""
+def identify(docs: DataFrame, net: ByteGru | None, *, text: str = "text", keep_text: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score, under ``names``, which replace columns of those names; ``text`` goes unless ``keep_text``."""
     at_text = docs.columns.index(text)
-    kept = [i for i in range(len(docs.columns)) if keep_text or i != at_text]
+    kept = [i for i, c in enumerate(docs.columns) if (keep_text or i != at_text) and c not in names]
     fields = [docs.schema.fields[i] for i in kept]
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -249,4 +257,4 @@ def identify(docs: DataFrame, net: ByteGru | None, *, text: str = "text", keep_t
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(pred, pa.string()), pa.array(score.clip(0, 1), pa.float64())], names=schema.names)
 
     out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)
-    return out.toDF(*[f.name for f in fields], "lang_pred", "score")
+    return out.toDF(*[f.name for f in fields], *names)

@@ -295,8 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` in place of ``text``."""
-    fields = [f for f in docs.schema.fields if f.name != text]
+    """``docs`` with ``score`` and ``predicted`` in place of ``text`` and of columns of those names."""
+    fields = [f for f in docs.schema.fields if f.name not in (text, "score", "predicted")]
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,6 +127,8 @@ class Index:
         live = np.cumsum(mark[:-1]) > 0
         at, name = at[live], name[live]
         width = 2 * (int(self.edits.max()) + 1)
+        shift_all = width * -(-(self.window.shape[1] + width) // width)  # keeps all diagonals above 0
+        names = len(buf) + 2 * shift_all
         found = []
         uses = self.start[name + 1] - self.start[name]
         edge = np.concatenate(([0], np.flatnonzero(np.diff(at) > reach) + 1, [len(at)]))  # crowds are counted apart
@@ -140,13 +142,13 @@ class Index:
             u = uses[lo:hi]
             k = np.repeat(self.start[name[lo:hi]], u) + np.arange(u.sum()) - np.repeat(np.cumsum(u) - u, u)
             place = self.places[k]
-            win, diagonal = place >> 16, np.repeat(at[lo:hi], u) - (place & 0xFFFF) + width
+            win, diagonal = place >> 16, np.repeat(at[lo:hi], u) - (place & 0xFFFF) + shift_all
             for shift in (0, width // 2):
                 band = (diagonal + shift) // width
-                key, count = np.unique(win * (len(buf) + 4 * width) + band, return_counts=True)
-                w, band = key // (len(buf) + 4 * width), key % (len(buf) + 4 * width)
+                key, count = np.unique(win * names + band, return_counts=True)
+                w, band = key // names, key % names
                 good = count >= self.least[w]
-                found.append(np.stack((w[good], band[good] * width - shift - width)))
+                found.append(np.stack((w[good], band[good] * width - shift - shift_all)))
             a = b
         return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 

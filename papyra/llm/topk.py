@@ -11,7 +11,8 @@ Defined results: a vector that is null or has a null or non-finite component tak
 has a query an answer from vectors of another length; fewer than k candidates give all of them; ties
 go to the smaller id; rows repeated under one id are each candidates of other ids; an empty table
 gives no rows. Components are quantised to ``floor(scale * x)``; while all products stay below 2**53
-the arithmetic is exact in doubles, beyond that Python integers are used.
+the arithmetic is exact in doubles, beyond that Python integers are used, and scores beyond 2**60 in
+size are given as 2**60.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import cut
 BLOCK, BINS, SLACK = 1024, 256, 64
 #: Rows scored together: a score matrix has BLOCK times so many cells at most.
 ROWS = 2048
+#: Scores are held to this size, so that bins can be counted in 64 bits.
+MOST = 2**60
 
 
 def _valid(vec: str):
@@ -55,7 +58,7 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if bound < 2**53:
         return (q @ x.T).astype(np.int64)
     exact = q.astype(object) @ x.astype(object).T
-    return np.frompyfunc(lambda s: max(-(2**63), min(2**63 - 1, int(s))), 1, 1)(exact).astype(np.int64)
+    return np.frompyfunc(lambda s: max(-MOST, min(MOST, int(s))), 1, 1)(exact).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, *, key: str = "vec_id", vec: str = "embedding", scale: float = 1024.0) -> DataFrame:
@@ -88,6 +91,7 @@ def _search_block(rows: DataFrame, sets: list, k: int, norm: float) -> DataFrame
     by_length = {q.shape[1]: (int(f), i, q) for (i, q), f in zip(sets, first, strict=False)}
     # by Cauchy and Schwarz no score leaves this range
     reach = np.concatenate([np.sqrt((q * q).sum(axis=1)) for _, q in sets]) * norm + 1 if sets else np.zeros(0)
+    reach = np.minimum(reach, float(MOST))
     low, high = -np.ceil(reach).astype(np.int64) if len(ids) else ids, np.ceil(reach).astype(np.int64) + 1 if len(ids) else ids
     width = np.maximum(1, -((low - high) // BINS)) if len(ids) else ids
     need = np.full(len(ids), k, np.int64)

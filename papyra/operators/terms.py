@@ -41,25 +41,24 @@ def vocabulary(paras: DataFrame, *, pairs: bool = False, top: int | None = None,
     return best.where(F.col("n") >= LEAST).select(key, "term", "n", "rank")
 
 
-def occurs(form: Column, flat_text: Column) -> Column:
-    """A form is found as a part of the text; its case matters only for acronyms."""
-    return F.when(F.length(form) >= CASEFOLD_FROM, F.contains(F.lower(flat_text), F.lower(form))).otherwise(F.contains(flat_text, form))
-
-
 def match_terms(texts: DataFrame, forms: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = MAX_INJECTED, most_forms: int = 10_000) -> DataFrame:
     """key, term, rank: the terms whose forms a text holds, longest first, ``limit`` at most.
 
-    ``forms`` (form, term) is the glossary of a job. It is counted before it is broadcast; beyond
-    ``most_forms`` each form goes to the texts through a shared word's first letters instead.
+    A form is found as a part of the text; its case matters only for acronyms. ``forms`` (form, term)
+    is the glossary of a job, counted before it is broadcast; beyond ``most_forms`` each form meets
+    only the texts that hold its first three letters, by an equi-join.
     """
-    flat_text = texts.select(key, flat(F.col(text)).alias("flat"))
+    level = flat(F.col(text))
+    shown = texts.select(key, level.alias("exact"), F.lower(level).alias("low"))
     small = forms.select(flat(F.col("form")).alias("form"), "term").distinct()
+    small = small.select("term", F.when(F.length("form") >= CASEFOLD_FROM, F.lower("form")).alias("any_case"), F.when(F.length("form") < CASEFOLD_FROM, F.col("form")).alias("own_case"))
+    holds = F.coalesce(F.contains("low", "any_case"), F.contains("exact", "own_case"))
     if small.limit(most_forms + 1).count() <= most_forms:
-        hit = flat_text.join(F.broadcast(small), occurs(F.col("form"), F.col("flat")))
+        hit = shown.join(F.broadcast(small), holds)
     else:
-        gram = lambda c: F.lower(F.substring(c, 1, 3))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("flat") - 2, F.lit(1))), lambda i: F.lower(F.substring(F.col("flat"), i, 3))))
-        hit = flat_text.withColumn("g", F.explode(grams)).join(small.withColumn("g", gram(F.col("form"))), "g").where(occurs(F.col("form"), F.col("flat")))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring(F.col("low"), i, 3)))
+        led = small.withColumn("g", F.substring(F.coalesce("any_case", F.lower("own_case")), 1, 3))
+        hit = shown.withColumn("g", F.explode(grams)).join(led, "g").where(holds)
     found = hit.select(key, "term").distinct()
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.length("term")), "term"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import geometry as G
 from papyra.functions import text as X
-from papyra.operators import cache, detect, jobs, pricing, regions, segment, terms, typeset
+from papyra.operators import cache, content, detect, jobs, pricing, regions, segment, terms, typeset
 from papyra.operators import paragraphs as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +477,112 @@ def kinds_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.withColumn("kinds", kinds).select("doc_id", F.explode(jobs.missing_kinds(lab)).alias("missing"))
 
 
+# ---- content streams, links, lookups ------------------------------------------------------------
+
+STROKE = "SELECT doc, page, line AS seq, CASE WHEN line % 3 = 0 THEN 'f' ELSE 'S' END AS kind, x0, y0, x1, CASE WHEN line % 4 = 0 THEN y1 ELSE y0 END AS ye, line % 5 = 0 AS red, CAST(line % 9 AS DOUBLE) AS linewidth FROM page"
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carrier for paths: a stroke under each line, some filled, some slanted, some coloured."""
+    lines, i = _page(spark, sf_dir), F.col("line")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ends = F.array(point(F.col("x0"), F.col("y0")), point(F.col("x1"), F.when(i % 4 == 0, F.col("y1")).otherwise(F.col("y0"))))
+    return lines.select("doc", "page", i.alias("seq"), F.when(i % 3 == 0, "f").otherwise("S").alias("kind"), ends.alias("points"), F.when(i % 5 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0))).alias("colour"), (i % 9).cast("double").alias("linewidth"))
+
+
+@query(rf"""WITH {PAGES}, s AS ({STROKE}) SELECT doc, page, seq, x0 AS px0, y0 AS py0, x1 AS px1, ye AS py1, linewidth FROM s WHERE kind = 'S' AND y0 = ye AND NOT red AND linewidth < 5""")
+def layout_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.drawn_lines(content.layout_strokes(_paths(spark, sf_dir)))
+
+
+NAMES = ["Tj", "re", "BDC", "cm", "EMC", "n", "T*", "BI"]
+
+
+@query(rf"""WITH {PAGES}, o AS (SELECT doc, page, line, list_extract({NAMES}, line % 8 + 1) AS name FROM page),
+k AS (SELECT *, CASE WHEN name IN ('EMC', 'n', 'T*', 'BI') THEN '' ELSE printf('%.6f', line / 4.0::DOUBLE) || ' /F' || line END AS args FROM o WHERE name NOT LIKE 'T%' AND name NOT IN ('BDC', 'EMC', 'BI'))
+SELECT doc, page, md5(string_agg(args || ' ' || name || ' ', '' ORDER BY line)) AS ops_md5, count(*) AS operators FROM k GROUP BY doc, page""")
+def residual_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, i = _page(spark, sf_dir), F.col("line")
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (i % 8 + 1).cast("int"))
+    arg = lambda t, real: F.struct(t.alias("text"), F.lit(real).alias("real"))
+    ops = lines.select("doc", "page", i.alias("seq"), name.alias("name")).withColumn("args", F.when(F.col("name").isin("EMC", "n", "T*", "BI"), F.array().cast("array<struct<text:string,real:boolean>>")).otherwise(F.array(arg((F.col("seq") / 4).cast("string"), True), arg(F.concat(F.lit("/F'"), F.col("seq").cast("string")), False))))
+    text = content.residual(ops)
+    return text.select("doc", "page", F.md5("ops").alias("ops_md5"), F.regexp_count("ops", F.lit("(?:re|cm|n) ")).cast("long").alias("operators"))
+
+
+@query(rf"WITH {PAGES} SELECT doc, page, line FROM page WHERE line % 6 <> 3 AND length(text) > 10")
+def visible_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _page(spark, sf_dir).withColumns({"type": F.when(F.col("line") % 6 == 3, 3).when(F.col("line") % 2 == 0, 0), "n_chars": F.greatest(F.length("text") - 10, F.lit(0))})
+    return content.visible(spans).select("doc", "page", "line")
+
+
+@query(rf"""WITH {PAGES}, a AS (SELECT doc, page, line, substr(text, 1, 40) AS anchor FROM page WHERE line % 4 = 0),
+n AS (SELECT doc, page, line, regexp_replace(anchor, '^{WS}+|{WS}+$', '', 'g') AS anchor FROM a),
+l AS (SELECT doc, page, line, list_concat([anchor], regexp_extract_all(anchor, '[0-9][\p{{L}}\p{{M}}\p{{Nd}}_.+\-]*|[A-Z][\p{{L}}\p{{M}}\p{{Nd}}_.+\-]+')) AS needles FROM n WHERE anchor <> '')
+SELECT doc, page, line, CAST(generate_subscripts(needles, 1) - 1 AS INTEGER) AS needle_rank, unnest(needles) AS needle FROM l""")
+def link_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _page(spark, sf_dir).where("line % 4 = 0").select("doc", "page", "line", F.substring("text", 1, 40).alias("anchor"))
+    return content.needles(links)
+
+
+@query(rf"""WITH {PAGES}, n AS (SELECT doc, count(DISTINCT page) AS n FROM page GROUP BY doc), l AS (SELECT doc, line, CASE line % 3 WHEN 0 THEN 'goto' WHEN 1 THEN 'uri' ELSE 'launch' END AS kind, line % 5 - 1 AS dest FROM page)
+SELECT l.doc, l.line, kind, CAST(CASE WHEN kind = 'goto' THEN dest * 2 + 1 END AS BIGINT) AS target FROM l JOIN n ON n.doc = l.doc WHERE kind = 'uri' OR (kind = 'goto' AND dest >= 0 AND dest < n)""")
+def link_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _page(spark, sf_dir)
+    kind = F.when(F.col("line") % 3 == 0, "goto").when(F.col("line") % 3 == 1, "uri").otherwise("launch")
+    links = lines.select("doc", "line", kind.alias("kind"), (F.col("line") % 5 - 1).cast("long").alias("dest_page"))
+    return content.destinations(links, lines.select("doc", "page").distinct(), True).select("doc", "line", "kind", "target")
+
+
+@query(rf"""WITH {PAGES}, u AS (SELECT doc, page FROM page WHERE line % 3 = 0 UNION ALL SELECT doc, page FROM page WHERE line % 7 = 0) SELECT doc, count(*) AS regions, count(DISTINCT page) AS pages FROM u GROUP BY doc""")
+def regions_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _page(spark, sf_dir).select("doc", "page", "line")
+    return content.region_counts(content.merged_regions(lines.where("line % 3 = 0"), lines.where("line % 7 = 0")))
+
+
+@query("SELECT n_nationkey, CASE lower(n_name) WHEN 'en' THEN 1.2 ELSE CASE n_nationkey % 4 WHEN 0 THEN 1.4 WHEN 1 THEN 0.8 ELSE 1.1 END END::DOUBLE AS height FROM nation")
+def line_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation", "n_nationkey")
+    code = F.element_at(F.array(F.lit("zh"), F.lit("ru"), F.lit("xx"), F.lit("yy")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return n.select("n_nationkey", content.looked_up(typeset.LINE_HEIGHT, code, typeset.DEFAULT_HEIGHT).alias("height"))
+
+
+@query("WITH f AS (SELECT o_custkey AS job, 'f' || o_orderkey % 7 AS path, o_orderkey % 7 < 5 AS made FROM orders), r AS (SELECT DISTINCT job, path FROM f WHERE NOT made AND (job, path) NOT IN (SELECT (job, path) FROM f WHERE made)) SELECT job, min(path) AS path FROM r GROUP BY job HAVING count(*) = 1")
+def job_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("job"), F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string")).alias("path"), (F.col("o_orderkey") % 7 < 5).alias("made"))
+    return jobs.single_source(f.select("job", "path").distinct(), f.where("made").select("job", "path"))
+
+
+@query("SELECT event_id, round(CASE event_type WHEN 'view' THEN 0.0 + 0.1 * value / 500 WHEN 'click' THEN 0.1 + 0.5 * value / 500 WHEN 'purchase' THEN 0.6 + 0.4 * value / 500 END, 9) AS progress FROM events")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "event_type", "value")
+    phase = F.when(F.col("event_type") == "view", "collect").when(F.col("event_type") == "click", "context").when(F.col("event_type") == "purchase", "layout")
+    return e.select("event_id", F.round(jobs.progress(phase, F.col("value"), F.lit(500)), 9).alias("progress"))
+
+
+@query(r"SELECT p_partkey, CAST(ceil(CAST(round_even(h * least(1024.0 / h, 1024.0 / w), 0) AS INTEGER) / 32.0) * 32 AS INTEGER) AS height, CAST(ceil(CAST(round_even(w * least(1024.0 / h, 1024.0 / w), 0) AS INTEGER) / 32.0) * 32 AS INTEGER) AS width FROM (SELECT p_partkey, CAST(100 + p_size * 17 AS DOUBLE) AS h, CAST(100 + p_partkey % 977 AS DOUBLE) AS w FROM part)")
+def image_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size")
+    f = G.fitted((100 + F.col("p_size") * 17).cast("double"), (100 + F.col("p_partkey") % 977).cast("double"), 1024, 32)
+    return p.select("p_partkey", f["height"].alias("height"), f["width"].alias("width"))
+
+
+@query("SELECT DISTINCT doc_id, list_extract(string_split(text, ' '), 1) AS term, list_sort(list_distinct([lower(list_extract(string_split(text, ' '), 1)), list_extract(string_split(text, ' '), 1)])) AS forms FROM documents WHERE length(text) > 0".replace("doc_id, ", ""))
+def glossary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "text").where(F.length("text") > 0).select(F.split("text", " ")[0].alias("term"))
+    forms = d.select("term", F.explode(F.array(F.lower("term"), F.col("term"))).alias("form"))
+    return terms.forms_by_term(forms)
+
+
+@query()
+def hidden_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentation with hidden boxes over the first lines of each page, each giving up twenty glyphs."""
+    pages = _glyphs(spark, sf_dir)
+    hidden = pages.select("doc", "page").distinct().select("doc", "page", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(0.0).alias("x0"), F.lit(760.0 - 30 * i).alias("y0"), F.lit(600.0).alias("x1"), F.lit(820.0).alias("y1"), F.lit(20.0).alias("n")) for i in range(2)])).alias("b")).select("doc", "page", "b.*")
+    s = segment.segment(pages, hidden=hidden)
+    return s.groupBy("doc", "page").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("paras"))
+
+
 # ---- segmentation and typesetting on glyphs made from the carrier --------------------------------
 
 

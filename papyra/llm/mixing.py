@@ -2,8 +2,8 @@
 
 Each source gets a target number of words by water-filling: words are shared by weight, a source
 stops at ``max_copies`` times its size, and what it can't take goes to the others by weight.
-A document's expected copies are its source's target over its size. The whole part is taken for
-certain. The fractional part p is sampled: documents are ranked in their source by
+A document's expected copies are its source's target over its size, times the document's own
+weight where documents have one, ``max_copies`` at most. The whole part is taken for certain. The fractional part p is sampled: documents are ranked in their source by
 ``(u / (1 - u)) / (p / (1 - p))``, u a uniform number fixed by the document's id and the seed, and
 the lowest ranks are taken until the source's remaining words are used up, within half a document.
 
@@ -64,18 +64,28 @@ def uniform(key: str, seed: int):
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, *, weights: list[int], share: float = 1.0, max_copies: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for each row of ``docs``."""
-    sizes = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(key, seed).alias("u"))
-    sizes = cut(sizes)  # the texts are read once; what follows works on these four columns
+def mix(docs: DataFrame, *, weights: list[int], share: float = 1.0, max_copies: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken for each row of ``docs``.
+
+    ``weight`` names a column of documents' own weights: inclusion probabilities then differ within a
+    source, in proportion to it. A null or negative weight counts as 0: such a document is not taken.
+    """
+    own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    sizes = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(key, seed).alias("u"), own.alias("w"))
+    sizes = cut(sizes)  # the texts are read once; what follows works on these five columns
     targets = source_targets(sizes, weights, share, max_copies)
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("expected", expected).withColumn("sure", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("sure"))
-    targets = small_side(cut(targets.withColumn("left_words", F.when(F.col("p") > 0, F.col("target") - F.col("sure") * F.col("source_size")).otherwise(F.lit(0.0)))))
+    weighed = sizes.groupBy("source").agg(F.sum(F.col("w") * F.col("size")).alias("weighed")).withColumnRenamed("source", "w_source")
+    targets = targets.join(weighed, targets["source"].eqNullSafe(weighed["w_source"])).drop("w_source")
+    targets = small_side(cut(targets))
+    expected = F.when(F.col("weighed") > 0, F.least(F.lit(float(max_copies)), F.col("target") / F.col("weighed") * F.col("w"))).otherwise(F.lit(0.0))
+    ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("expected", expected)
+    ranked = ranked.withColumn("sure", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("sure")).drop("expected", "weighed", "w")
+    certain = ranked.groupBy("source").agg(F.sum(F.col("sure") * F.col("size")).alias("certain"), F.max("target").alias("t")).select(F.col("source").alias("l_source"), (F.col("t") - F.col("certain")).alias("left_words"))
+    certain = small_side(cut(certain))
+    ranked = ranked.join(certain, ranked["source"].eqNullSafe(certain["l_source"])).drop("l_source")
 
     # the key of a source's ranking, as a number in (0, 1) that keeps its order
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + odds)))
     ranked = ranked.withColumn("bin", F.floor(F.col("rank") * float(2 ** (2 * LEVEL_BITS))).cast("long"))
 
@@ -102,6 +112,6 @@ def mix(docs: DataFrame, *, weights: list[int], share: float = 1.0, max_copies:
     taken = small_side(taken)
     same = joined["source"].eqNullSafe(taken["t_source"]) & (joined["rank"] == taken["t_rank"]) & joined["doc_id"].eqNullSafe(taken["t_id"]) & (joined["size"] == taken["t_size"])
     out = joined.join(taken, same, "left")
-    extra = F.when(F.coalesce(F.col("p"), F.lit(0.0)) <= 0, 0).when(F.col("c_from").isNull() | (F.col("bin") < F.col("c_from")), 1).when(F.col("t_rank").isNotNull(), 1).otherwise(0)
+    extra = F.when(F.col("p") <= 0, 0).when(F.col("c_from").isNull() | (F.col("bin") < F.col("c_from")), 1).when(F.col("t_rank").isNotNull(), 1).otherwise(0)
     copies = (F.col("sure") + extra).cast("int")
     return out.select("doc_id", "size", joined["source"], "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))

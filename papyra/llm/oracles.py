@@ -50,3 +50,30 @@ WITH q AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+SQL["op6_repeats"] = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), w AS (
+  SELECT doc_id, s, md5(substring(x, 2 * s + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, greatest(n - 99, 0))) AS s FROM d)
+), later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM w) WHERE k > 1
+), edges AS (
+  SELECT doc_id, s, s - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS island FROM later
+), runs AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM edges GROUP BY doc_id, island
+), marked AS (
+  SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM runs
+), spans AS (
+  SELECT doc_id, min(a) AS a, max(z) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS g FROM marked) GROUP BY doc_id, g
+), cuts AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(spans.z), 0), any_value(d.n) FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY d.doc_id
+), kept AS (
+  SELECT cuts.doc_id, string_agg(substring(x, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS y FROM cuts JOIN d ON d.doc_id = cuts.doc_id GROUP BY cuts.doc_id
+), totals AS (
+  SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(y)) AS kept_sha256
+FROM d LEFT JOIN totals t ON t.doc_id = d.doc_id JOIN kept k ON k.doc_id = d.doc_id
+"""

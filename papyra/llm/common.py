@@ -35,6 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with over this share of all rows is hot; there are fewer than its inverse of them.
+HOT_SHARE = 1e-4
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, uses: str, total: int) -> DataFrame:
+    """Inner join of ``left`` to one row a key in ``right``, whose column ``uses`` counts the left rows of a key.
+
+    Keys that over ``HOT_SHARE`` of the ``total`` left rows have are fewer than 10,000: their right
+    rows are broadcast, so no task gathers a hot key. All other keys meet by an ordinary join.
+    """
+    is_hot = F.col(uses) > F.lit(total * HOT_SHARE)
+    hot = F.broadcast(right.where(is_hot).drop(uses))
+    rest = left.join(F.broadcast(right.where(is_hot).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(right.where(~is_hot).drop(uses), key))
+
+
 def held_out(key: str, folds: int = 5) -> Column:
     """True for rows of the fold that models never learn from; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % folds == 0

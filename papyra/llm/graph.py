@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,17 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round moves links to ever smaller neighbours (large-star, then small-star) until nothing
     changes; a chain of length n takes about log n rounds. A node's links are never gathered: only
-    the least neighbour is, by an aggregate, so a hub costs no more than its rows.
+    the least neighbour is, by an aggregate, and goes back to a hub's links by a broadcast.
     """
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = cut(ends.distinct())
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.where("v > u"), least, "u", "n", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, "u", "n", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         new = _mark(now)
         if new == mark:

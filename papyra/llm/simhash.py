@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_side
+from .common import cut, join_hot, small_side
 from .graph import components
 
 #: Fixed values of the binary Golay code: block length, covering radius, generator polynomial.
@@ -226,14 +226,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, seed: int = 42, t: int =
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     groups = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
-    # a node alone in its group is already named; others look their group up
-    names = cut(named.join(groups, "root").select("fp", "n", "component_id"))
-    # fingerprints of over a 10,000th of all rows are fewer than 10,000: they are broadcast, and no join has a hot key
-    total = prints.count()
-    hot = F.broadcast(names.where(F.col("n") * 10_000 > total).select("fp", "component_id"))
-    common = prints.join(hot, "fp")
-    rest = prints.join(hot, "fp", "left_anti").join(names.where(F.col("n") * 10_000 <= total).select("fp", "component_id"), "fp")
-    return common.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = cut(join_hot(named, groups, "root", "members", nodes.count()).select("fp", "n", "component_id"))
+    together = join_hot(prints, names, "fp", "n", prints.count())
+    return together.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---- similar documents: long sketches, many covers of short parts of them, links confirmed on the whole sketch
@@ -370,11 +365,9 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
     roots = components(dealt.mapInArrow(_similar(limit), "a long, b long"))
     named = cut(nodes.join(roots, "node", "left").select("node", "least_id", "n", F.coalesce("root", "node").alias("root")))
-    names = cut(named.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "n", "component_id"))
-    total = prints.count()
-    hot = F.broadcast(names.where(F.col("n") * 10_000 > total).select("node", "component_id"))  # fewer than 10,000
-    rest = prints.join(hot, "node", "left_anti").join(names.where(F.col("n") * 10_000 <= total).select("node", "component_id"), "node")
-    return prints.join(hot, "node").unionByName(rest).select("doc_id", "component_id")
+    groups = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    names = cut(join_hot(named, groups, "root", "members", n_nodes).select("node", "n", "component_id"))
+    return join_hot(prints, names, "node", "n", prints.count()).select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:

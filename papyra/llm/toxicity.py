@@ -31,10 +31,13 @@ from pyspark.sql import types as T
 
 from .common import bounded_sample
 
-#: Labelled documents of each class that the machine is fitted on; landmarks; rounds of choosing stretches.
-FIT_DOCS, LANDMARKS, ROUNDS = 1000, 320, 4
+#: Labelled documents of each class that the machine is fitted on; landmarks; rounds of choosing stretches;
+#: words of a text that a round looks at.
+FIT_DOCS, LANDMARKS, ROUNDS, WORDS = 1000, 320, 4, 4
 #: Kernel: letters that a subsequence spans after its first, discount for each, first letters in a stretch.
 SPAN, DECAY, STARTS = 5, 0.75, 6
+#: Decisions above this are worked out with the stretch's exact length; below it they lie far under any threshold.
+EXACT_FROM = 0.0
 #: Characters worked on together.
 CHARS = 1_000_000
 
@@ -113,6 +116,14 @@ def subsequences(x: Letters, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids.reshape(len(at), -1), w.reshape(len(at), -1).astype(np.float32)
 
 
+def norms(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Length of each stretch's subsequence vector; one that occurs several times in a stretch counts together."""
+    key = (np.arange(len(ids))[:, None] * SYMBOLS**3 + ids).ravel()
+    names, place = np.unique(key, return_inverse=True)
+    total = np.bincount(place.ravel(), w.ravel().astype(float), minlength=len(names))
+    return np.sqrt(np.bincount(names // SYMBOLS**3, total * total, minlength=len(ids)))
+
+
 def _squares() -> np.ndarray:
     return np.array([sum(DECAY ** (2 * b) for _, b in PAIRS if b < room) for room in range(SPAN + 2)])
 
@@ -142,7 +153,14 @@ class Machine:
         run, norm = np.concatenate(([0.0], np.cumsum(total, dtype=np.float64))), np.concatenate(([0.0], np.cumsum(square)))
         end = np.arange(n) + np.minimum(room, STARTS)
         size = norm[end] - norm[:n]
-        return np.where(size > 1e-6, (run[end] - run[:n]) / np.sqrt(np.maximum(size, 1e-6)) + self.offset, -2.0)
+        plain = np.sqrt(np.maximum(size, 1e-6))
+        out = np.where(size > 1e-6, (run[end] - run[:n]) / plain + self.offset, -2.0)
+        # the length above takes every subsequence as another one; where that matters it is worked out
+        near = np.flatnonzero(out > EXACT_FROM)
+        for at in range(0, len(near), 20_000):
+            i = near[at : at + 20_000]
+            out[i] = (out[i] - self.offset) * plain[i] / np.maximum(norms(*subsequences(x, i)), plain[i]) + self.offset
+        return out
 
     def decisions_by_part(self, x: Letters) -> np.ndarray:
         """``decisions``, worked out for some texts at a time."""
@@ -169,9 +187,13 @@ class Machine:
 
 
 def _best(score: np.ndarray, x: Letters, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``count`` best stretches of each text: positions and texts."""
-    ends = np.append(x.first[1:], len(x.code))
-    picks = [s + np.argsort(-score[s:e], kind="stable")[:count] for s, e in zip(x.first, ends, strict=True)]
+    """The best stretch of each of the ``count`` best words of each text: positions and texts."""
+    ends, picks = np.append(x.first[1:], len(x.code)), []
+    for s, e in zip(x.first, ends, strict=True):
+        order = np.argsort(-score[s:e], kind="stable")
+        word = np.cumsum(x.code[s:e] == START)[order]
+        _, first = np.unique(word, return_index=True)
+        picks.append(s + order[np.sort(first)[:count]])
     return np.concatenate(picks), np.repeat(np.arange(len(picks)), [len(p) for p in picks])
 
 
@@ -200,13 +222,13 @@ def _fit(phi: tuple[np.ndarray, np.ndarray], y: np.ndarray, marks: tuple[np.ndar
     used, column = np.unique(ids[w > 0], return_inverse=True)
     dense = np.zeros((len(ids), len(used)))
     np.add.at(dense, (np.nonzero(w > 0)[0], column), w[w > 0])
-    dense /= np.maximum(np.sqrt((w.astype(float) ** 2).sum(axis=1, keepdims=True)), 1e-9)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
     where = np.full(SYMBOLS**3, -1)
     where[used] = np.arange(len(used))
     columns, kernel = np.vstack((dense.T, np.zeros(len(ids)))), np.empty((len(y), len(ids)))
     for at in range(0, len(y), 256):
         i, v = phi[0][at : at + 256], phi[1][at : at + 256]
-        kernel[at : at + 256] = np.einsum("nf,nfm->nm", v, columns[where[i]]) / np.maximum(np.sqrt((v.astype(float) ** 2).sum(axis=1, keepdims=True)), 1e-9)
+        kernel[at : at + 256] = np.einsum("nf,nfm->nm", v, columns[where[i]]) / np.maximum(norms(i, v)[:, None], 1e-9)
     value, vector = np.linalg.eigh(dense @ dense.T)
     good = value > 1e-4 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
@@ -246,7 +268,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, seed:
     usable = np.flatnonzero(x.room >= 3)
     clean_places = usable[label[text[usable]] == 0]
     for turn in range(ROUNDS):
-        best, owner = _best(score, x, 3)
+        best, owner = _best(score, x, WORDS)
         top = np.full(len(own), -np.inf)
         np.maximum.at(top, owner, score[best])
         sure = score[best] >= (0.7 * top[owner] if turn == 0 else np.minimum(top[owner], 0.5))

@@ -2,7 +2,8 @@
 
 Every stated query is scored against every row, in blocks of queries. The k-th best score of each
 query is located by global histograms: each task counts its scores into bins, the counts are summed
-by (query, bin), and the bin that holds the k-th score becomes the range of the next, finer round.
+by (query, bin), and the bin that holds the k-th score becomes the range of the next, finer round,
+with the bin's upper edge kept, as finer bins may reach past it.
 Once few scores are left in that bin, or it is one score wide, rows at or above its lower edge are
 kept, at most k of them a task and query, and the final ranks come from those by (score descending,
 id ascending). No score below the edge and no pair is ever stored.
@@ -94,13 +95,14 @@ def _search_block(rows: DataFrame, sets: list, k: int, norm: float) -> DataFrame
     reach = np.minimum(reach, float(MOST))
     low, high = -np.ceil(reach).astype(np.int64) if len(ids) else ids, np.ceil(reach).astype(np.int64) + 1 if len(ids) else ids
     width = np.maximum(1, -((low - high) // BINS)) if len(ids) else ids
+    top = low + BINS * width  # scores from here on are already taken off ``need``
     need = np.full(len(ids), k, np.int64)
     open_ = np.ones(len(ids), bool)
 
     while open_.any():
-        lo, wi, act = low.copy(), width.copy(), open_.copy()
+        lo, hi, wi, act = low.copy(), top.copy(), width.copy(), open_.copy()
 
-        def count(batches: Iterator[pa.RecordBatch], lo=lo, wi=wi, act=act) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], lo=lo, hi=hi, wi=wi, act=act) -> Iterator[pa.RecordBatch]:
             hist = np.zeros((len(ids), BINS), np.int64)
             for vid, x in _rows(batches):
                 got = by_length.get(x.shape[1])
@@ -111,7 +113,7 @@ def _search_block(rows: DataFrame, sets: list, k: int, norm: float) -> DataFrame
                     sel = np.arange(len(qid))[j : j + 1] if not isinstance(j, slice) else np.arange(len(qid))
                     s = _scores(q[sel], x)
                     bins = (s - lo[at + sel][:, None]) // wi[at + sel][:, None]
-                    ok = (bins >= 0) & (bins < BINS) & (vid[None, :] != qid[sel][:, None])
+                    ok = (bins >= 0) & (s < hi[at + sel][:, None]) & (vid[None, :] != qid[sel][:, None])
                     flat = (bins + np.arange(len(sel))[:, None] * BINS)[ok]
                     hist[at + sel] += np.bincount(flat, minlength=len(sel) * BINS).reshape(len(sel), BINS)
             q_at, b_at = np.nonzero(hist)
@@ -127,6 +129,7 @@ def _search_block(rows: DataFrame, sets: list, k: int, norm: float) -> DataFrame
                 open_[i] = False
                 continue
             low[i] += hit["b"] * width[i]
+            top[i] = min(top[i], low[i] + width[i])
             need[i] -= hit["above"]
             open_[i] = width[i] > 1 and hit["n"] > SLACK
             width[i] = max(1, -(-width[i] // BINS))

@@ -129,6 +129,13 @@ def test_top_k(spark):
         assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == [(k + 1, j, -n) for k, (n, j) in enumerate(best)]
 
 
+def test_top_k_scores_just_above_the_bin(spark):
+    scores = [-99_999, *range(57_182, 57_191), *range(56_400, 56_500)]
+    vectors = spark.createDataFrame([(0, [1.0]), *((i, [float(s)]) for i, s in enumerate(scores, 1))], "vec_id long, embedding array<double>")
+    got = topk.top_k(vectors, F.col("vec_id") == 0, k=10, scale=1.0).orderBy("rank").collect()
+    assert [r["score"] for r in got] == [*range(57_190, 57_181, -1), 56_499]
+
+
 def test_tokens(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -231,10 +231,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, seed: int = 42, t: int =
     return together.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- similar documents: long sketches, many covers of short parts of them, links confirmed on the whole sketch
+# ---- similar documents: long sketches, many covers of short parts of them, candidates told by the whole sketch, links confirmed by shingles
 
 #: Bits of a sketch, in lanes of 64; expected share of equal documents' pairs that meet in one table or more.
 LANES, RECALL = 4, 0.95
+#: Deviations above the bits expected at the threshold within which a pair's shingles are compared.
+SPREAD = 3.5
 #: Nodes that anchors of 23 bits alone tell apart well enough; beyond, tables add exact bits and grow in number.
 PLAIN_NODES = 1 << 18
 
@@ -277,80 +279,148 @@ def sketch(text: str | None, words: int, seed: int) -> bytes:
     return np.packbits(sums * 2 > n).tobytes()
 
 
-def _similar(limit: int):
-    """mapInArrow over rows (bucket, home, node, sketch) sorted by bucket, homes first: stars of confirmed links."""
+def shingles(text: str | None, words: int) -> frozenset[bytes]:
+    tokens = (text or "").encode().lower().split()
+    return frozenset(b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))) if tokens else frozenset()
+
+
+def jaccard(a: frozenset, b: frozenset) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (i, j) that make a least spanning forest by ``far``; ``label`` comes to name its trees."""
+    order, taken = np.argsort(far, kind="stable"), []
+    while True:
+        order = order[label[i[order]] != label[j[order]]]
+        if not len(order):
+            return np.concatenate(taken) if taken else order
+        best, rank = np.full(len(label), len(order)), np.arange(len(order))
+        np.minimum.at(best, label[i[order]], rank)
+        np.minimum.at(best, label[j[order]], rank)
+        own = order[np.unique(best[best < len(order)])]
+        taken.append(own)
+        while (label[i[own]] != label[j[own]]).any():
+            x, y = label[i[own]], label[j[own]]
+            to = np.arange(len(label))
+            np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+            label[:] = to[label]
+
+
+def _candidates(limit: int, every: bool):
+    """mapInArrow over rows (bucket, home, node, root, sketch) sorted by bucket, homes first: pairs within ``limit`` bits.
+
+    Pairs under one root are left out. A bucket gives a spanning forest of its pairs, or ``every`` pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(bucket: np.ndarray, home: np.ndarray, node: np.ndarray, lanes: np.ndarray) -> pa.RecordBatch:
+        def work(bucket: np.ndarray, home: np.ndarray, node: np.ndarray, root: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.diff(bucket)) + 1
             start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(bucket)]))
             homes = np.add.reduceat(home.astype(np.int64), start)
-            a, b = [], []
+            a, b, size = [], [], 0
             for s, e, h in zip(start.tolist(), end.tolist(), homes.tolist(), strict=True):
                 if not h or e - s < 2:
                     continue
-                label, step = np.arange(e - s), max(1, CELLS // (4 * (e - s)))
+                label, step, kept = None, max(1, CELLS // (4 * (e - s))), None
                 for at in range(s, s + h, step):
                     stop = min(at + step, s + h)
                     # one lane is enough to turn nearly all pairs away
-                    i, j = np.nonzero(np.bitwise_count(lanes[at:stop, None, 0] ^ lanes[None, s:e, 0]) <= 64 * limit // (64 * LANES) + 12)
-                    far = np.bitwise_count(lanes[at + i] ^ lanes[s + j]).sum(axis=1, dtype=np.int64)
+                    i, j = np.nonzero(np.bitwise_count(lanes[at:stop, None, 0] ^ lanes[None, s:e, 0]) <= limit // LANES + 12)
+                    i, j = i + at, j + s
+                    other = root[i] != root[j]
+                    i, j = i[other], j[other]
+                    if not len(i):
+                        continue
+                    far = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
                     near = far <= limit
-                    i, j = i[near] + at - s, j[near]
-                    while True:
-                        low = np.minimum(label[i], label[j])
-                        new = label.copy()
-                        np.minimum.at(new, label[i], low)
-                        np.minimum.at(new, label[j], low)
-                        new = new[new]
-                        if (new == label).all():
-                            break
-                        label = new
-                while (label != label[label]).any():
-                    label = label[label]
-                moved = np.flatnonzero(label != np.arange(e - s))
-                a.append(node[s + moved])
-                b.append(node[s + label[moved]])
-            empty = [np.zeros(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or empty)), pa.array(np.concatenate(b or empty))], names=["a", "b"])
-
-        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
+                    i, j, far = i[near], j[near], far[near]
+                    if not every:  # the forest so far and the new pairs have a forest of all pairs
+                        if kept is not None:
+                            i, j, far = (np.concatenate(x) for x in zip(kept, (i, j, far), strict=True))
+                        label = np.unique(root[s:e], return_inverse=True)[1]
+                        own = _forest(label, i - s, j - s, far)
+                        kept = i[own], j[own], far[own]
+                    else:
+                        a.append(node[i])
+                        b.append(node[j])
+                        size += len(i)
+                        if size > CELLS:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                            a, b, size = [], [], 0
+                if kept is not None:
+                    a.append(node[kept[0]])
+                    b.append(node[kept[1]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LANES)
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), raw]
+            raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, LANES)
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), raw]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if done:
-                yield work(*[x[:done] for x in held])
+                yield from work(*[x[:done] for x in held])
                 held = [x[done:] for x in held]
         if len(held[0]):
-            yield work(*held)
+            yield from work(*held)
 
     return run
 
 
-def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, t: int = 2, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id for each row: groups linked by sketches as near as those of sets of ``similarity`` or more."""
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, total: int, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts' shingles have a Jaccard similarity of ``similarity`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(x.as_py(), words, seed) for x in batch.column(1)], pa.binary())], names=["doc_id", "sketch"])
+            held: dict[int, frozenset] = {}
+            good = []
+            for at in range(0, batch.num_rows, 256):
+                for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if a not in held:
+                        held = {a: shingles(x, words)}  # rows of one hub mostly stand together
+                    good.append(jaccard(held[a], shingles(y, words)) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(nodes.join(ends, "node", "left_semi").select("node", "digest", "n"))
+    found = join_hot(texts, wanted, "digest", "n", total).groupBy("node").agg(F.first("text", ignorenulls=True).alias("text"))
+    found, n = cut(found), pairs.count()
+    for end, name in (("b", "y"), ("a", "x")):
+        uses = pairs.groupBy(end).agg(F.count("*").alias("uses"))
+        pairs = join_hot(pairs, uses.join(found.select(F.col("node").alias(end), F.col("text").alias(name)), end), end, "uses", n)
+    return cut(pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, key: str, text: str) -> DataFrame:
+    """doc_id, digest (of the text), component_id, first (the row that stands for the group) for each row."""
 
-    prints = docs.select(key, text).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("sketch", T.BinaryType())]))
-    prints = cut(prints.withColumn("node", F.xxhash64("sketch")))
-    nodes = cut(prints.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
-    n_nodes = nodes.count()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column(2).to_pylist()
+            node = [xxhash.xxh64_intdigest(b" ".join((x or "").encode().lower().split()), seed) for x in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([sketch(x, words, seed) for x in some], pa.binary())], names=["doc_id", "digest", "node", "sketch"])
+
+    texts = docs.select(_digest(text).alias("digest"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("digest", T.StringType()), T.StructField("node", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    prints = cut(docs.select(F.col(key).alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text")).mapInArrow(run, schema))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
+    nodes = cut(prints.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), F.min("digest").alias("digest"), first.alias("first"), F.count("*").alias("n")))
+    n_nodes, total = nodes.count(), prints.count()
     tables, exact = plan_tables(n_nodes, similarity, t)
     rng = np.random.default_rng(seed)
     picks = [rng.permutation(64 * LANES)[: GOLAY_N + exact] for _ in range(tables)]
-    limit = round(64 * LANES * (differing_share(similarity) + 0.008))
+    p = differing_share(similarity)
+    limit = round(64 * LANES * p + SPREAD * (64 * LANES * p * (1 - p)) ** 0.5)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = GolayBlock(t)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                node, raw = batch.column(0).to_numpy(), batch.column(1)
+                node, raw = batch.column(0), batch.column(2)
                 bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(np.uint64)
                 for k, pick in enumerate(picks):
                     word = (bits[:, pick[:GOLAY_N]] << np.arange(GOLAY_N, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
@@ -358,16 +428,44 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
                     home, row, anchor = cover(word, 1, t, golay)
                     rows = np.concatenate((np.arange(len(node)), row))
                     name = ((more[rows] * 4096) + np.concatenate((home, anchor))) * tables + k
-                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.arange(len(rows)) < len(node)), pa.array(node[rows]), raw.take(pa.array(rows))], names=["bucket", "home", "node", "sketch"])
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.arange(len(rows)) < len(node)), node.take(take), batch.column(1).take(take), raw.take(take)], names=["bucket", "home", "node", "root", "sketch"])
+
+    def candidates(some: DataFrame, every: bool) -> DataFrame:
+        """Pairs a < b of ``some`` (node, root, sketch) that meet and lie within the limit."""
+        rows = some.mapInArrow(emit, "bucket long, home boolean, node long, root long, sketch binary")
+        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * tables // 100_000)
+        dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
+        pairs = dealt.mapInArrow(_candidates(limit, every), "a long, b long")
+        return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    plain = nodes.select("node", F.col("node").alias("root"), "sketch")
+    pairs = candidates(plain, False)
+    links = _confirmed(pairs, nodes, texts, total, words, similarity)
+    refused = pairs.join(links, ["a", "b"], "left_anti")
+    if not refused.isEmpty():
+        # a refused pair of a forest may stand for others that are no worse: where it leaves a group in parts, every pair between the parts is looked at
+        loose, tight = components(pairs), components(links)
+        named = plain.drop("root").join(loose.withColumnRenamed("root", "loose"), "node", "left").join(tight, "node", "left")
+        named = cut(named.select("node", F.coalesce("root", "node").alias("root"), "sketch", F.coalesce("loose", "node").alias("loose")))
+        parts = named.groupBy("loose").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+        whole = join_hot(named, parts, "loose", "members", n_nodes)
+        pairs = candidates(cut(whole.where("low <> high").select("node", "root", "sketch")), True)
+        links = cut(links.unionByName(_confirmed(pairs.join(refused, ["a", "b"], "left_anti"), nodes, texts, total, words, similarity)))
+    roots = components(links)
+    named = cut(nodes.join(roots, "node", "left").select("node", "least_id", "first", "n", F.coalesce("root", "node").alias("root")))
+    groups = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"), F.count("*").alias("members"))
+    names = cut(join_hot(named.drop("first"), groups, "root", "members", n_nodes).select("node", "n", "component_id", "first"))
+    return join_hot(prints, names, "node", "n", total).select("doc_id", "digest", "component_id", "first")
+
+
+def _digest(text: str):
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
 
-    rows = nodes.select("node", "sketch").mapInArrow(emit, "bucket long, home boolean, node long, sketch binary")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * tables // 100_000)
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
-    roots = components(dealt.mapInArrow(_similar(limit), "a long, b long"))
-    named = cut(nodes.join(roots, "node", "left").select("node", "least_id", "n", F.coalesce("root", "node").alias("root")))
-    groups = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
-    names = cut(join_hot(named, groups, "root", "members", n_nodes).select("node", "n", "component_id"))
-    return join_hot(prints, names, "node", "n", prints.count()).select("doc_id", "component_id")
+
+def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, t: int = 2, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id for each row: groups linked by shingles with a Jaccard similarity of ``similarity`` or more."""
+    return _groups(docs, words, similarity, t, seed, key, text).select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:

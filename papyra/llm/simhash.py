@@ -468,14 +468,23 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     return _groups(docs, words, similarity, t, seed, key, text).select("doc_id", "component_id")
 
 
-def drop_similar(docs: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one document, the one of the least id, of each group of ``similar_groups``; one row of rows that share an id."""
-    groups = cut(similar_groups(docs, key=key, **how))
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("component_id").alias("kinds")).where("n > 1").select(F.col("doc_id").alias("again_id"))
-    again = cut(again)
-    kept = docs.join(gone, F.col(key).eqNullSafe(gone["gone_id"]), "left_anti")
+def drop_similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, t: int = 2, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of ``similar_groups``: the one of the least id (a null id comes last), then of the least digest.
+
+    Rows are told by id and text together, so rows of other texts under the same id, or under none,
+    are documents of their own; of rows with the same id and the same text one stays.
+    """
+    groups = cut(_groups(docs, words, similarity, t, seed, key, text))
+    row = [F.col("doc_id").alias("row_id"), F.col("digest").alias("row_digest")]
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    gone = groups.where(~is_first).select(*row).distinct()
+    again = cut(groups.where(is_first).groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").select("row_id", "row_digest"))
+
+    def same(some: DataFrame):
+        return F.col(key).eqNullSafe(some["row_id"]) & (_digest(text) == some["row_digest"])
+
+    kept = docs.join(gone, same(gone), "left_anti")
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, kept[key] == again["again_id"], "left_semi").dropDuplicates([key])
-    return kept.join(again, kept[key] == again["again_id"], "left_anti").unionByName(repeated)
+    repeated = kept.join(again, same(again), "left_semi").withColumn("row_digest", _digest(text)).dropDuplicates([key, "row_digest"]).drop("row_digest")
+    return kept.join(again, same(again), "left_anti").unionByName(repeated)

@@ -76,3 +76,20 @@ def test_forest():
         want, got = roots(range(20), pairs), roots(range(20), [pairs[k] for k in own])
         assert want == got and len(own) == 20 - len(set(want.values()))
         assert all((label[a] == label[b]) == (want[a] == want[b]) for a in range(20) for b in range(20))
+
+
+def test_drop_by_row_not_by_id(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join(text(rng)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, e), (2, e), (3, d), (None, None), (None, "")]
+    kept = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["text"] or "") for r in kept), key=repr) == sorted([(1, a), (None, b), (None, c), (2, d), (2, e), (None, "")], key=repr)
+
+
+def test_decontaminate_rows_without_id(spark, tmp_path):
+    C = pytest.importorskip("corpus_pipeline")
+    leak = "a benchmark passage that no clean document holds, long enough to be called a leak by any measure of length"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"before {leak} after"), (None, "a clean text"), (None, None), (5, leak), (5, "another clean text")], "doc_id long, text string")
+    kept = C.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r["text"]) for r in kept)) == ["None", "a clean text", "another clean text"]

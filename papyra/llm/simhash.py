@@ -370,6 +370,24 @@ def _candidates(limit: int, every: bool):
     return run
 
 
+def _grid(rows: DataFrame, heavy: DataFrame, node: str) -> DataFrame:
+    """``rows`` (bucket, home, node and more) with the buckets of ``heavy`` (bucket, parts) split into cells, as in ``links``."""
+    if heavy.isEmpty():
+        return rows
+    columns = rows.columns
+    rest = [F.col(c) for c in columns if c not in ("bucket", "home")]
+    rows = rows.join(small_side(heavy), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64(node), F.col("parts"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    cell = F.xxhash64("bucket", "r", "c")
+    whole = rows.where("parts = 1").select(*columns)
+    split = rows.where("parts > 1").withColumn("own", own.cast("int"))
+    # each home stands at home in its row of the grid and visits its column; visitors only visit
+    at_home = split.where("home").select("bucket", F.lit(True).alias("home"), *rest, F.col("own").alias("r"), F.explode(every).alias("c"))
+    visits = split.select("bucket", F.lit(False).alias("home"), *rest, F.explode(every).alias("r"), F.col("own").alias("c"))
+    return whole.unionByName(at_home.unionByName(visits).select(cell.alias("bucket"), "home", *rest))
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, total: int, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts' shingles have a Jaccard similarity of ``similarity`` or more."""
 
@@ -415,7 +433,7 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
     p = differing_share(similarity)
     limit = round(64 * LANES * p + SPREAD * (64 * LANES * p * (1 - p)) ** 0.5)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch], visit: bool = True) -> Iterator[pa.RecordBatch]:
         golay = GolayBlock(t)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -425,6 +443,9 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
                 for k, pick in enumerate(picks):
                     word = (bits[:, pick[:GOLAY_N]] << np.arange(GOLAY_N, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
                     more = (bits[:, pick[GOLAY_N:]] << np.arange(exact, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(np.int64)
+                    if not visit:
+                        yield pa.RecordBatch.from_arrays([pa.array(((more * 4096) + golay.home(word.astype(np.int64))[0]) * tables + k)], names=["bucket"])
+                        continue
                     home, row, anchor = cover(word, 1, t, golay)
                     rows = np.concatenate((np.arange(len(node)), row))
                     name = ((more[rows] * 4096) + np.concatenate((home, anchor))) * tables + k
@@ -433,7 +454,9 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
 
     def candidates(some: DataFrame, every: bool) -> DataFrame:
         """Pairs a < b of ``some`` (node, root, sketch) that meet and lie within the limit."""
-        rows = some.mapInArrow(emit, "bucket long, home boolean, node long, root long, sketch binary")
+        at_home = some.mapInArrow(lambda batches: emit(batches, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+        heavy = cut(at_home.where(F.col("n") > HEAVY).select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")))
+        rows = _grid(some.mapInArrow(emit, "bucket long, home boolean, node long, root long, sketch binary"), heavy, "node")
         n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * tables // 100_000)
         dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
         pairs = dealt.mapInArrow(_candidates(limit, every), "a long, b long")

@@ -48,7 +48,7 @@ def test_links_are_those_of_shingles(spark):
     assert sum(linked[:50]) >= 45 and not any(linked[50:])
 
 
-@pytest.mark.parametrize("heavy", [4096])
+@pytest.mark.parametrize("heavy", [4096, 3])
 def test_groups_by_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(simhash, "HEAVY", heavy)
     monkeypatch.setattr(simhash, "RECALL", 0.999999)

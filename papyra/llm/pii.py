@@ -40,9 +40,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 SPELT = re.compile(r"(?<![^\s<(])([A-Za-z0-9][A-Za-z0-9._-]{0,63})\s?(?:\(at\)|\[at\]|\sat\s)\s?([A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\sdot\s|\.)\s?[A-Za-z0-9-]{1,63}){1,4})", re.I)
+#: What every match of SPELT holds, and the most characters that stand before and after its start in one.
+AT, BEFORE, AFTER = re.compile(r"\(at\)|\[at\]|\sat\s", re.I), 65, 400
 NATIONAL = re.compile(r"(?<![\w.+@-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w@-])")
-NAMED = re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,256})", re.I)
-KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|xox[bp]-|sk-)[A-Za-z0-9_-]{12,128}")
+NAMED = re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})", re.I)
+KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|xox[bp]-|sk-)[A-Za-z0-9_-]{12,}")
 
 #: Gazetteers and context words (fixed values).
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu it nl ch at us ca jp cn".split())
@@ -94,9 +96,11 @@ def strict_matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
 
 
 def _loose_matches(text: str) -> Iterator[tuple[str, int, int]]:
-    if "(at)" in text or "[at]" in text or " dot " in text or "(AT)" in text or "[AT]" in text:
-        for m in SPELT.finditer(text):
-            yield "email", m.start(), m.end()
+    end = 0
+    for at in AT.finditer(text):
+        if at.start() >= end and (m := SPELT.search(text, max(end, at.start() - BEFORE), at.start() + AFTER)):
+            end = m.end()
+            yield "email", m.start(), end
     if DIGIT.search(text):
         for m in NATIONAL.finditer(text):
             yield "phone", m.start(), m.end()

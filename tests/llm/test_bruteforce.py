@@ -55,9 +55,84 @@ def test_repeats(spark, heavy, batch_bytes):
     assert sum(w[2] for w in want) > 10_000
 
 
-def test_maximal_repeats():
-    got = repeats.maximal_repeats([b"xabcdy", b"zabcdw", b"qabcr"], 3)
-    assert got == [(b"abc", [(0, 1), (1, 1), (2, 1)]), (b"abcd", [(0, 1), (1, 1)])]
+def test_repeats_of_any_width(spark):
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abc") for _ in range(700)) for _ in range(3)]
+    rows = [(1, long[0] + long[1]), (2, long[1][40:] + long[2]), (3, "b" + long[2][:400]), (4, long[0][:299]), (5, long[0][:300])]
+    for width in (32, 300):
+        seen, want = set(), {}
+        for i, t in rows:
+            gone = bytearray(len(t))
+            for s in range(len(t) - width + 1):
+                if t[s : s + width] in seen:
+                    gone[s : s + width] = b"\1" * width
+                seen.add(t[s : s + width])
+            want[i] = sum(gone)
+        for heavy in (30_000, 1):
+            got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=width, heavy=heavy, batch_bytes=900)
+            assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_repeats_without_ids(spark):
+    """Rows without an id of their own have a fixed order too, and only first occurrences stay."""
+    one, two = "a passage of some length that is " * 4 + "shared", "".join(map(str, range(80)))
+    rows = [(None, one + " x"), (None, two + one), (7, "y" + one), (7, two), (None, None), (None, one + " x"), (2**63 - 1, "z" + one)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), batch_bytes=300, keep_text=True).collect()
+    again = repeats.remove_repeats(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(2), batch_bytes=300, keep_text=True).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again)) and len(got) == len(rows)
+    whole = b"|".join(r["kept"] for r in got)
+    assert whole.count(one.encode()) == 1 and whole.count(two.encode()) == 1
+    assert any(r["doc_id"] == 7 and r["n_removed"] == 0 and r["n_bytes"] == len(one) + 1 for r in got) or any(r["doc_id"] == 7 and one.encode() in r["kept"] for r in got)
+
+
+@pytest.mark.parametrize("heavy", [30_000, 3])
+def test_maximal_repeats(spark, heavy):
+    """Groups hold all occurrences of their bytes, and every two equal windows lie in a group together."""
+    rows = [(i, t) for i, t in texts(4, 40)]
+    raw = {i: (t or "").encode() for i, t in rows}
+    found = repeats.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), heavy=heavy, batch_bytes=4_000).collect()
+    groups, covered = {}, {}
+    for r in found:
+        groups.setdefault((r["repeat"], r["length"]), set()).add((r["doc_id"], r["start"]))
+    whole = {i: b for i, b in raw.items() if len(b) >= 100}
+    for (_, n), places in groups.items():
+        i, s = next(iter(places))
+        said = raw[i][s : s + n]
+        assert len(said) == n >= 100 and len(places) > 1
+        assert places == {(j, k) for j, b in whole.items() for k in range(len(b) - n + 1) if b[k : k + n] == said}
+        for j, k in places:
+            for d in range(n - 99):
+                covered.setdefault(said[d : d + 100], set()).add((j, k + d))
+    windows = {}
+    for i, b in whole.items():
+        for s in range(len(b) - 99):
+            windows.setdefault(b[s : s + 100], set()).add((i, s))
+    assert {w: p for w, p in windows.items() if len(p) > 1} == covered
+    assert len(groups) > 20
+
+
+def test_interval_tree():
+    """Groups of the tree are the maximal repeats of all suffixes, by brute force."""
+    rng = random.Random(8)
+    for _ in range(30):
+        text = bytes(rng.choice(b"ab") for _ in range(40))
+        order = sorted(range(40), key=lambda i: text[i:])
+        common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+        lcp = np.array([common(text[i:], text[j:]) for i, j in zip(order, order[1:])])
+        got = set()
+        for depth, lo, hi in repeats.interval_tree(lcp):
+            places = order[lo : hi + 1]
+            if len({text[p - 1] if p else -1 for p in places}) > 1:
+                got.add((text[places[0] : places[0] + depth], frozenset(places)))
+        want = set()
+        for n in range(1, 40):
+            for s in {text[i : i + n] for i in range(41 - n)}:
+                at = frozenset(i for i in range(41 - n) if text[i : i + n] == s)
+                if len(at) > 1 and len({text[i - 1] if i else -1 for i in at}) > 1 and len({text[i + n] if i + n < 40 else -1 for i in at}) > 1:
+                    want.add((s, at))
+        assert got == want
 
 
 def test_simhash(spark):

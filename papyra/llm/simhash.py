@@ -237,6 +237,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, seed: int = 42, t: int =
 LANES, RECALL = 4, 0.95
 #: Deviations above the bits expected at the threshold within which a pair's shingles are compared.
 SPREAD = 3.5
+#: Nodes whose digests are broadcast, 60 bytes each; more are met by a shuffle.
+BROADCAST_DIGESTS = 100_000
 #: Nodes that anchors of 23 bits alone tell apart well enough; beyond, tables add exact bits and grow in number.
 PLAIN_NODES = 1 << 18
 
@@ -308,64 +310,54 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) ->
             label[:] = to[label]
 
 
-def _candidates(limit: int, every: bool):
-    """mapInArrow over rows (bucket, home, node, root, sketch) sorted by bucket, homes first: pairs within ``limit`` bits.
-
-    Pairs under one root are left out. A bucket gives a spanning forest of its pairs, or ``every`` pair.
-    """
+def _candidates(limit: int):
+    """mapInArrow over rows (bucket, home, node, sketch) sorted by bucket, homes first: a least spanning forest of each bucket's pairs within ``limit`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(bucket: np.ndarray, home: np.ndarray, node: np.ndarray, root: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def forest(lanes: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
+            step, kept = max(1, CELLS // (4 * len(lanes))), [np.zeros(0, np.int64)] * 3
+            for at in range(0, homes, step):
+                stop = min(at + step, homes)
+                # two lanes turn nearly all pairs away: what they differ by alone is over the limit
+                half = sum(np.bitwise_count(lanes[at:stop, None, k] ^ lanes[None, :, k]) for k in range(2))
+                i, j = np.nonzero(half <= limit)
+                i = i + at
+                i, j = i[i != j], j[i != j]
+                far = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
+                near = far <= limit
+                # the forest so far and the new pairs have a forest of all pairs
+                i, j, far = (np.concatenate((x, y[near])) for x, y in zip(kept, (i, j, far), strict=True))
+                own = _forest(np.arange(len(lanes)), i, j, far)
+                kept = [i[own], j[own], far[own]]
+            return kept[0], kept[1]
+
+        def work(bucket: np.ndarray, home: np.ndarray, node: np.ndarray, lanes: np.ndarray) -> pa.RecordBatch:
             edge = np.flatnonzero(np.diff(bucket)) + 1
             start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(bucket)]))
             homes = np.add.reduceat(home.astype(np.int64), start)
-            a, b, size = [], [], 0
-            for s, e, h in zip(start.tolist(), end.tolist(), homes.tolist(), strict=True):
-                if not h or e - s < 2:
-                    continue
-                label, step, kept = None, max(1, CELLS // (4 * (e - s))), None
-                for at in range(s, s + h, step):
-                    stop = min(at + step, s + h)
-                    # one lane is enough to turn nearly all pairs away
-                    i, j = np.nonzero(np.bitwise_count(lanes[at:stop, None, 0] ^ lanes[None, s:e, 0]) <= limit // LANES + 12)
-                    i, j = i + at, j + s
-                    other = root[i] != root[j]
-                    i, j = i[other], j[other]
-                    if not len(i):
-                        continue
-                    far = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64)
-                    near = far <= limit
-                    i, j, far = i[near], j[near], far[near]
-                    if not every:  # the forest so far and the new pairs have a forest of all pairs
-                        if kept is not None:
-                            i, j, far = (np.concatenate(x) for x in zip(kept, (i, j, far), strict=True))
-                        label = np.unique(root[s:e], return_inverse=True)[1]
-                        own = _forest(label, i - s, j - s, far)
-                        kept = i[own], j[own], far[own]
-                    else:
-                        a.append(node[i])
-                        b.append(node[j])
-                        size += len(i)
-                        if size > CELLS:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                            a, b, size = [], [], 0
-                if kept is not None:
-                    a.append(node[kept[0]])
-                    b.append(node[kept[1]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
+            two = (homes > 0) & (end - start == 2)  # most buckets: no loop for those
+            p = start[two]
+            near = np.bitwise_count(lanes[p] ^ lanes[p + 1]).sum(axis=1, dtype=np.int64) <= limit
+            a, b = [node[p[near]]], [node[p[near] + 1]]
+            more = (homes > 0) & (end - start > 2)
+            for s, e, h in zip(start[more].tolist(), end[more].tolist(), homes[more].tolist(), strict=True):
+                i, j = forest(lanes[s:e], h)
+                if len(i):
+                    a.append(node[s + i])
+                    b.append(node[s + j])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, LANES)
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), raw]
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LANES)
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), raw]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if done:
-                yield from work(*[x[:done] for x in held])
+                yield work(*[x[:done] for x in held])
                 held = [x[done:] for x in held]
         if len(held[0]):
-            yield from work(*held)
+            yield work(*held)
 
     return run
 
@@ -388,7 +380,7 @@ def _grid(rows: DataFrame, heavy: DataFrame, node: str) -> DataFrame:
     return whole.unionByName(at_home.unionByName(visits).select(cell.alias("bucket"), "home", *rest))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, total: int, words: int, similarity: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, total: int, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts' shingles have a Jaccard similarity of ``similarity`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,13 +394,13 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, total: int,
                     good.append(jaccard(held[a], shingles(y, words)) >= similarity)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(nodes.join(ends, "node", "left_semi").select("node", "digest", "n"))
-    found = join_hot(texts, wanted, "digest", "n", total).groupBy("node").agg(F.first("text", ignorenulls=True).alias("text"))
-    found, n = cut(found), pairs.count()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("uses"))
+    wanted = small_side(cut(nodes.join(ends, "node").select("node", "digest", "uses")), BROADCAST_DIGESTS)
+    # one text stands for a node: that of the digest that names it
+    found = cut(docs.join(wanted, "digest").groupBy("node", "uses").agg(F.first("text").alias("text")))
+    n = pairs.count()
     for end, name in (("b", "y"), ("a", "x")):
-        uses = pairs.groupBy(end).agg(F.count("*").alias("uses"))
-        pairs = join_hot(pairs, uses.join(found.select(F.col("node").alias(end), F.col("text").alias(name)), end), end, "uses", n)
+        pairs = join_hot(pairs, found.select(F.col("node").alias(end), "uses", F.col("text").alias(name)), end, "uses", n)
     return cut(pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
@@ -418,14 +410,17 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.column(2).to_pylist()
-            node = [xxhash.xxh64_intdigest(b" ".join((x or "").encode().lower().split()), seed) for x in some]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([sketch(x, words, seed) for x in some], pa.binary())], names=["doc_id", "digest", "node", "sketch"])
-
-    texts = docs.select(_digest(text).alias("digest"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("digest", T.StringType()), T.StructField("node", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    prints = cut(docs.select(F.col(key).alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text")).mapInArrow(run, schema))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
-    nodes = cut(prints.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), F.min("digest").alias("digest"), first.alias("first"), F.count("*").alias("n")))
+            both = [xxhash.xxh3_128_digest(b" ".join((x or "").encode().lower().split()), seed) for x in some]
+            node, check = np.frombuffer(b"".join(both), ">i8").astype(np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.copy()), pa.array(check.copy()), pa.array([sketch(x, words, seed) for x in some], pa.binary())], names=["doc_id", "digest", "node", "check", "sketch"])
+
+    texts = docs.select(F.col(key).alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("digest", T.StringType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    prints = cut(texts.mapInArrow(run, schema))
+    # rows of the same words are one node; should others share its number, by chance, they stay by themselves
+    first = F.min(F.struct("check", F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
+    nodes = prints.groupBy("node").agg(F.min_by("sketch", "check").alias("sketch"), first.alias("first"), F.count("*").alias("n"))
+    nodes = cut(nodes.withColumn("digest", F.col("first.digest")))
     n_nodes, total = nodes.count(), prints.count()
     tables, exact = plan_tables(n_nodes, similarity, t)
     rng = np.random.default_rng(seed)
@@ -438,7 +433,7 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                node, raw = batch.column(0), batch.column(2)
+                node, raw = batch.column(0), batch.column(1)
                 bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(np.uint64)
                 for k, pick in enumerate(picks):
                     word = (bits[:, pick[:GOLAY_N]] << np.arange(GOLAY_N, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
@@ -450,36 +445,24 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
                     rows = np.concatenate((np.arange(len(node)), row))
                     name = ((more[rows] * 4096) + np.concatenate((home, anchor))) * tables + k
                     take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.arange(len(rows)) < len(node)), node.take(take), batch.column(1).take(take), raw.take(take)], names=["bucket", "home", "node", "root", "sketch"])
-
-    def candidates(some: DataFrame, every: bool) -> DataFrame:
-        """Pairs a < b of ``some`` (node, root, sketch) that meet and lie within the limit."""
-        at_home = some.mapInArrow(lambda batches: emit(batches, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
-        heavy = cut(at_home.where(F.col("n") > HEAVY).select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")))
-        rows = _grid(some.mapInArrow(emit, "bucket long, home boolean, node long, root long, sketch binary"), heavy, "node")
-        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * tables // 100_000)
-        dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
-        pairs = dealt.mapInArrow(_candidates(limit, every), "a long, b long")
-        return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    plain = nodes.select("node", F.col("node").alias("root"), "sketch")
-    pairs = candidates(plain, False)
-    links = _confirmed(pairs, nodes, texts, total, words, similarity)
-    refused = pairs.join(links, ["a", "b"], "left_anti")
-    if not refused.isEmpty():
-        # a refused pair of a forest may stand for others that are no worse: where it leaves a group in parts, every pair between the parts is looked at
-        loose, tight = components(pairs), components(links)
-        named = plain.drop("root").join(loose.withColumnRenamed("root", "loose"), "node", "left").join(tight, "node", "left")
-        named = cut(named.select("node", F.coalesce("root", "node").alias("root"), "sketch", F.coalesce("loose", "node").alias("loose")))
-        parts = named.groupBy("loose").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-        whole = join_hot(named, parts, "loose", "members", n_nodes)
-        pairs = candidates(cut(whole.where("low <> high").select("node", "root", "sketch")), True)
-        links = cut(links.unionByName(_confirmed(pairs.join(refused, ["a", "b"], "left_anti"), nodes, texts, total, words, similarity)))
-    roots = components(links)
-    named = cut(nodes.join(roots, "node", "left").select("node", "least_id", "first", "n", F.coalesce("root", "node").alias("root")))
-    groups = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("first").alias("first"), F.count("*").alias("members"))
-    names = cut(join_hot(named.drop("first"), groups, "root", "members", n_nodes).select("node", "n", "component_id", "first"))
-    return join_hot(prints, names, "node", "n", total).select("doc_id", "digest", "component_id", "first")
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.arange(len(rows)) < len(node)), node.take(take), raw.take(take)], names=["bucket", "home", "node", "sketch"])
+
+    some = nodes.select("node", "sketch")
+    at_home = some.mapInArrow(lambda batches: emit(batches, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+    heavy = cut(at_home.where(F.col("n") > HEAVY).select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")))
+    rows = _grid(some.mapInArrow(emit, "bucket long, home boolean, node long, sketch binary"), heavy, "node")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * tables // 100_000)
+    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
+    pairs = dealt.mapInArrow(_candidates(limit), "a long, b long")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    roots = components(_confirmed(pairs, nodes, texts, total, words, similarity))
+    named = nodes.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
+    lowest = F.min(F.struct(F.col("first.no_id").alias("no_id"), F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest")))
+    groups = named.groupBy("root").agg(lowest.alias("lowest"), F.count("*").alias("members"))
+    names = cut(join_hot(cut(named), groups, "root", "members", n_nodes).select("node", "n", F.col("first.check").alias("of"), "lowest"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    out = join_hot(prints.drop("sketch"), names, "node", "n", total).withColumn("first", F.when(F.col("check") == F.col("of"), F.col("lowest")).otherwise(own))
+    return out.select("doc_id", "digest", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def _digest(text: str):

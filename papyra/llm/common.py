@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -17,16 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one is made only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where the session names none, one is made on this machine if the session runs on it alone; on a
+    cluster that would be each executor's own disk, so there it is an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"/tmp/papyra-checkpoints/{uuid.uuid4().hex}")
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(f"{tempfile.gettempdir()}/papyra-checkpoints/{uuid.uuid4().hex}")
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so a lost executor loses none of it."""
     spark = df.sparkSession

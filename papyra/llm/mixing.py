@@ -64,30 +64,39 @@ def uniform(key: str, seed: int):
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, *, weights: list[int], share: float = 1.0, max_copies: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, *, weights: list[int], share: float = 1.0, max_copies: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, carry: bool = False) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken for each row of ``docs``.
 
+    With ``carry`` all columns of ``docs`` stay, but for ones named like those given here: texts are
+    then read a second time instead of being kept, as what is taken hangs on id, source and size alone.
     ``weight`` names a column of documents' own weights: inclusion probabilities then differ within a
     source, in proportion to it. A null or negative weight counts as 0: such a document is not taken.
     """
     own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
-    sizes = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(key, seed).alias("u"), own.alias("w"))
-    sizes = cut(sizes)  # the texts are read once; what follows works on these five columns
+    sized = [F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(key, seed).alias("u"), own.alias("w")]
+    sizes = cut(docs.select(*sized))  # what follows works on these five columns
     targets = source_targets(sizes, weights, share, max_copies)
     weighed = sizes.groupBy("source").agg(F.sum(F.col("w") * F.col("size")).alias("weighed")).withColumnRenamed("source", "w_source")
     targets = targets.join(weighed, targets["source"].eqNullSafe(weighed["w_source"])).drop("w_source")
     targets = small_side(cut(targets))
     expected = F.when(F.col("weighed") > 0, F.least(F.lit(float(max_copies)), F.col("target") / F.col("weighed") * F.col("w"))).otherwise(F.lit(0.0))
-    ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("expected", expected)
-    ranked = ranked.withColumn("sure", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("sure")).drop("expected", "weighed", "w")
-    certain = ranked.groupBy("source").agg(F.sum(F.col("sure") * F.col("size")).alias("certain"), F.max("target").alias("t")).select(F.col("source").alias("l_source"), (F.col("t") - F.col("certain")).alias("left_words"))
-    certain = small_side(cut(certain))
-    ranked = ranked.join(certain, ranked["source"].eqNullSafe(certain["l_source"])).drop("l_source")
 
+    def expect(frame: DataFrame) -> DataFrame:
+        out = frame.join(targets, frame["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("expected", expected)
+        return out.withColumn("sure", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("sure")).drop("expected", "weighed", "w")
+
+    certain = expect(sizes).groupBy("source").agg(F.sum(F.col("sure") * F.col("size")).alias("certain"), F.max("target").alias("t")).select(F.col("source").alias("l_source"), (F.col("t") - F.col("certain")).alias("left_words"))
+    certain = small_side(cut(certain))
     # the key of a source's ranking, as a number in (0, 1) that keeps its order
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + odds)))
-    ranked = ranked.withColumn("bin", F.floor(F.col("rank") * float(2 ** (2 * LEVEL_BITS))).cast("long"))
+
+    def rank(frame: DataFrame) -> DataFrame:
+        out = expect(frame)
+        out = out.join(certain, out["source"].eqNullSafe(certain["l_source"])).drop("l_source")
+        out = out.withColumn("rank", F.when(F.col("p") > 0, F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + odds)))
+        return out.withColumn("bin", F.floor(F.col("rank") * float(2 ** (2 * LEVEL_BITS))).cast("long"))
+
+    ranked = rank(sizes)
 
     crossing = None
     for shift in (LEVEL_BITS, 0):
@@ -110,8 +119,15 @@ def mix(docs: DataFrame, *, weights: list[int], share: float = 1.0, max_copies:
     at_cut = at_cut.withColumn("before", F.col("c_before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     taken = cut(at_cut.where("before + size * n - left_words <= left_words - before").select(F.col("source").alias("t_source"), F.col("rank").alias("t_rank"), F.col("doc_id").alias("t_id"), F.col("size").alias("t_size")))
     taken = small_side(taken)
+    if carry:
+        told = rank(docs.select(*sized, F.struct(*docs.columns).alias("carried")))
+        joined = told.join(crossing, told["source"].eqNullSafe(crossing["c_source"]), "left")
     same = joined["source"].eqNullSafe(taken["t_source"]) & (joined["rank"] == taken["t_rank"]) & joined["doc_id"].eqNullSafe(taken["t_id"]) & (joined["size"] == taken["t_size"])
     out = joined.join(taken, same, "left")
     extra = F.when(F.col("p") <= 0, 0).when(F.col("c_from").isNull() | (F.col("bin") < F.col("c_from")), 1).when(F.col("t_rank").isNotNull(), 1).otherwise(0)
     copies = (F.col("sure") + extra).cast("int")
-    return out.select("doc_id", "size", joined["source"], "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    mixed = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": (F.col("size") * copies).cast("long")}
+    said = [c.alias(name) for name, c in mixed.items()]
+    if carry:
+        return out.select(*[F.col("carried")[c].alias(c) for c in docs.columns if c not in mixed], *said)
+    return out.select("doc_id", said[0], joined["source"], *said[1:])

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,18 +72,17 @@ class Vocabulary:
             if token not in self.made:
                 self.made[token], self.parts[token] = time, (vocab[a], vocab[b])
                 (self.final if b.endswith(end) else self.inner)[raw(a + b)] = token
-        self.longest = max(map(len, (*self.inner, *self.final)))
-        self._apart: dict[tuple[int, int], bool] = {}
+        #: by a token's bytes: the token inside a piece, and the one at its end
+        self.named = {t: (self.inner.get(t), self.final.get(t)) for t in {**self.inner, **self.final}}
+        self.longest = max(map(len, self.named))
+        self.known: dict[tuple[int, int], bool] = {}
 
     def apart(self, left: int, right: int) -> bool:
         """Merging the bytes of both ends in these two tokens: no merge across their border comes before them."""
-        key = left, right
-        known = self._apart.get(key)
-        if known is None:
-            if len(self._apart) >= PAIR_LIMIT:
-                self._apart.clear()
-            known = self._apart[key] = self._stay(left, right)
-        return known
+        if len(self.known) >= PAIR_LIMIT:
+            self.known.clear()
+        got = self.known[left, right] = self._stay(left, right)
+        return got
 
     def _stay(self, left: int, right: int) -> bool:
         before = float("inf")
@@ -113,19 +112,26 @@ class Run:
 
     def extend(self, more: bytes) -> None:
         raw = self.raw = self.raw + more
-        inner, final, apart, longest = self.words.inner, self.words.final, self.words.apart, self.words.longest
+        named, apart, known, longest = self.words.named, self.words.apart, self.words.known, self.words.longest
         last, counts, totals = self.last, self.counts, self.totals
         for end in range(len(last), len(raw) + 1):
-            token, count, total = None, None, None
+            token = count = total = None
             for start in range(max(0, end - longest), end):
+                both = named.get(raw[start:end])
+                if both is None:
+                    continue
+                inner, final = both
                 before = last[start]
                 if start and before is None:
                     continue  # no token ends here
-                part = raw[start:end]
-                if count is None and (t := inner.get(part)) is not None and (not start or apart(before, t)):
-                    token, count = t, counts[start] + 1
-                if total is None and (t := final.get(part)) is not None and (not start or apart(before, t)):
-                    total = counts[start] + 1
+                if count is None and inner is not None:
+                    fits = True if not start else known.get((before, inner))
+                    if fits or (fits is None and apart(before, inner)):
+                        token, count = inner, counts[start] + 1
+                if total is None and final is not None:
+                    fits = True if not start else known.get((before, final))
+                    if fits or (fits is None and apart(before, final)):
+                        total = counts[start] + 1
                 if count is not None and total is not None:
                     break
             last.append(token)
@@ -137,13 +143,27 @@ class Run:
         del self.last[n + 1 :], self.counts[n + 1 :], self.totals[n + 1 :]
 
 
+class Kept(dict):
+    """Values worked out when they are first asked for, at most ``limit`` of them at a time."""
+
+    def __init__(self, work: Callable[[str], object], limit: int):
+        self.work, self.limit = work, limit
+
+    def __missing__(self, key: str) -> object:
+        value = self.work(key)
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class PrefixCounter:
     """Exact token counts at all prefixes of a text."""
 
     def __init__(self, tokenizer_json: str, cache_limit: int = CACHE_LIMIT):
-        self.words, self._limit = Vocabulary(tokenizer_json), cache_limit
-        self._chunks: dict[str, int] = {"": 0}
-        self._pieces: dict[str, tuple[int, ...]] = {}
+        self.words = Vocabulary(tokenizer_json)
+        self._chunks, self._pieces = Kept(self._chunk_total, cache_limit), Kept(self._counts, cache_limit)
+        self.chunk_total, self.counts = self._chunks.__getitem__, self._pieces.__getitem__
         self._stable = lambda s: s.isascii() or not self.words.composes or unicodedata.is_normalized("NFC", s)
 
     # ---- pieces
@@ -155,15 +175,10 @@ class PrefixCounter:
             return text
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # letter by letter: no final sigma
 
-    def counts(self, piece: str) -> tuple[int, ...]:
+    def _counts(self, piece: str) -> list[int]:
         """Tokens of each prefix of a piece, from the empty one on, if it is a piece of its own."""
-        got = self._pieces.get(piece)
-        if got is None:
-            if len(self._pieces) >= self._limit:
-                self._pieces.clear()
-            totals = Run(self.words, piece.encode()).totals
-            got = self._pieces[piece] = tuple(totals) if piece.isascii() else tuple(totals[i] for i in np.cumsum([0, *(len(c.encode()) for c in piece)]).tolist())
-        return got
+        totals = Run(self.words, piece.encode()).totals
+        return totals if piece.isascii() else [totals[i] for i in np.cumsum([0, *(len(c.encode()) for c in piece)]).tolist()]
 
     def _within(self, piece: str, n: int) -> int:
         """Tokens of ``piece[:n]``; a piece's prefix may fall into several pieces, as a contraction's does."""
@@ -181,20 +196,13 @@ class PrefixCounter:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _plain(self, text: str) -> int:
-        return sum(self.counts(p)[-1] for p in self.words.pattern.findall(self.normal(text)))
-
-    def chunk_total(self, chunk: str) -> int:
-        got = self._chunks.get(chunk)
-        if got is None:
-            if len(self._chunks) >= self._limit:
-                self._chunks = {"": 0}
-            if self.words.special and "<" in chunk:
-                plain = self.words.special.split(chunk)
-                got = sum(map(self._plain, plain)) + len(plain) - 1
-            else:
-                got = self._plain(chunk)
-            self._chunks[chunk] = got
-        return got
+        return sum([n[-1] for n in map(self.counts, self.words.pattern.findall(self.normal(text)))])
+
+    def _chunk_total(self, chunk: str) -> int:
+        if self.words.special and "<" in chunk:
+            plain = self.words.special.split(chunk)
+            return sum(map(self._plain, plain)) + len(plain) - 1
+        return self._plain(chunk)
 
     def _plain_prefixes(self, text: str) -> list[int]:
         """Tokens of each prefix of a text without special tokens, the empty one included."""

@@ -1,6 +1,7 @@
 """The operators against plain versions of what they compute, on small tables."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -211,6 +212,22 @@ def test_top_k_scores_just_above_the_bin(spark):
     assert [r["score"] for r in got] == [*range(57_190, 57_181, -1), 56_499]
 
 
+@pytest.mark.parametrize("queries", [16_384, 7])
+def test_top_k_of_wide_scores(spark, queries):
+    """Scores beyond 64 bits are ranked by their true value; jobs of few queries give the same."""
+    rng = random.Random(9)
+    rows = [(0, [1e17]), (1, [2e17]), (2, [1.0]), (3, [-3e17]), (4, [2.0000001e17]), (5, [1e300]), (6, [1e17]), (7, [1e308])]
+    rows += [(i, [rng.uniform(-1, 1) * 10 ** rng.randrange(25) for _ in range(3)]) for i in range(8, 60)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.lit(True), k=4, queries=queries).collect()
+    exact = {i: [int(c * 1024) if abs(c * 1024) >= 2**53 else math.floor(c * 1024) for c in v] for i, v in rows if all(abs(c * 1024) < float("inf") for c in v)}
+    want = set()
+    for i, v in exact.items():
+        score = {j: sum(a * b for a, b in zip(v, w, strict=True)) for j, w in exact.items() if j != i and len(v) == len(w)}
+        for rank, (n, j) in enumerate(sorted((-n, j) for j, n in score.items())[:4], 1):
+            want.add((i, rank, j, max(-(2**63), min(2**63 - 1, -n))))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_tokens(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -9,7 +9,7 @@ single, joined by one space in page order, are the text.
 
 Defined results: null html counts as empty and gives an empty text, as does a page without article
 text; tags that are never closed end with the page; repeated rows each get a row. Scripts, styles,
-comments and the like are no leaves. Scanning takes linear time.
+comments and the like are no leaves. Time is linear in a page's length, whatever is left open in it.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ TAG = re.compile(
     r"|<[!?][^>]*+>",
     re.S | re.I,
 )
+RAW_END = re.compile(r"</[a-zA-Z]+\s*>\Z")
 NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements that end a leaf (fixed values); those that hold no content; those whose start closes an open one of a kind.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul video audio".split())
@@ -48,42 +49,101 @@ CONTAINERS = frozenset("ul ol table article section div main nav aside header fo
 PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+#: Hashed places of path elements and words, kept by a worker.
+_PLACES: dict[str, int] = {}
+
+
+def _place(word: str, size: int, salt: str) -> int:
+    key = salt + word
+    got = _PLACES.get(key)
+    if got is None:
+        if len(_PLACES) > 200_000:
+            _PLACES.clear()
+        got = _PLACES[key] = zlib.crc32(key.encode()) % size
+    return got
+
+
+class Element:
+    """An open element: its own steps, the elements above it, and the hashed steps of all of them as bits."""
+
+    __slots__ = ("above", "bits", "depth", "name", "steps")
+
+    def __init__(self, name: str, steps: tuple[str, ...], above: Element | None):
+        self.name, self.steps, self.above = name, steps, above
+        self.depth, self.bits = len(steps) + (above.depth if above else 0), above.bits if above else 0
+        for step in steps:
+            self.bits |= 1 << _place(step, PATHS, "p")
+
+
+class Stack:
+    """Open elements, and where those of each name, and those that hold others, stand among them."""
+
+    def __init__(self) -> None:
+        self.open: list[Element] = []
+        self.at: dict[str, list[int]] = {}
+        self.holders: list[int] = []
+
+    def push(self, name: str, steps: tuple[str, ...]) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        if name in CONTAINERS:
+            self.holders.append(len(self.open))
+        self.open.append(Element(name, steps, self.open[-1] if self.open else None))
+
+    def close(self, names: list[str], inside: bool) -> None:
+        """Close the innermost element of these names and all in it; ``inside`` the innermost container only."""
+        found = max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+        if found < 0 or (inside and self.holders and self.holders[-1] > found):
+            return
+        for e in self.open[found:]:
+            self.at[e.name].pop()
+        del self.open[found:]
+        while self.holders and self.holders[-1] >= found:
+            self.holders.pop()
+
+
 @dataclass
 class Leaf:
     text: str
-    path: tuple[str, ...]
+    element: Element | None
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        steps, e = [], self.element
+        while e:
+            steps[:0], e = e.steps, e.above
+        return tuple(steps)
 
-def _pop(stack: list, names: str | frozenset, stop: frozenset | None) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in names:
-            del stack[i:]
-            return
-        if stop and stack[i][0] in stop:
-            return
+
+def _open_end(m: re.Match) -> bool:
+    """A comment or raw element that its match ends without its closing mark."""
+    if m[1]:
+        return not RAW_END.search(m[0]) or not m[0].lower().rstrip(" \t\n\r\f\v>").endswith(m[1].lower())
+    return m[0].startswith("<!--") and not (m[0].endswith("-->") and len(m[0]) > 6)
 
 
 def leaves(page: str) -> list[Leaf]:
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    linked, in_link, at, names = 0, 0, 0, {k: frozenset(v.split()) for k, v in CLOSES.items()}
+    stack, parts = Stack(), []
+    linked, in_link, at = 0, 0, 0
+    last = page.rfind(">") + 1  # no tag ends after it, so none is looked for
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(text, tuple(x for s in stack for x in s[1]), linked))
+                out.append(Leaf(text, stack.open[-1] if stack.open else None, linked))
             parts.clear()
         linked = 0
 
-    for m in TAG.finditer(page):
+    for m in TAG.finditer(page, 0, last):
         if m.start() > at:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * (in_link > 0)
         at = m.end()
+        if at == last and _open_end(m):
+            at = len(page)
         closing, name, attrs = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if not name:
             continue
@@ -95,54 +155,35 @@ def leaves(page: str) -> list[Leaf]:
         elif name in BLOCKS:
             flush()
             if closing:
-                _pop(stack, frozenset((name,)), CONTAINERS if name not in CONTAINERS else None)
+                stack.close([name], name not in CONTAINERS)
             else:
-                if name in names:
-                    _pop(stack, names[name], CONTAINERS)
+                if name in CLOSES:
+                    stack.close(CLOSES[name].split(), True)
                 if name in PARAGRAPH_ENDS:
-                    _pop(stack, frozenset(("p",)), CONTAINERS)
+                    stack.close(["p"], True)
                 if name not in VOID:
                     said = [w for g in NAME.findall(attrs) for w in re.split(r"[^a-z]+", "".join(g).lower()) if w] if attrs and "=" in attrs else []
-                    stack.append((name, (name, *(f".{w}" for w in said[:8]))))
+                    stack.push(name, (name, *(f".{w}" for w in said)))
     if at < len(page):
-        parts.append(page[at:])
+        rest = page[at:]
+        parts.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     flush()
     return out
 
 
-#: Places of path elements and words in their vectors, kept by a worker.
-_PLACES: dict[str, int] = {}
-
-
-def _place(word: str, size: int, salt: str) -> int:
-    key = salt + word
-    got = _PLACES.get(key)
-    if got is None:
-        if len(_PLACES) > 200_000:
-            _PLACES.clear()
-        got = _PLACES[key] = zlib.crc32(key.encode()) % size
-    return got
-
-
 def vectors(page: list[Leaf]) -> np.ndarray:
-    """A row for each leaf: hashed path, hashed words, counts."""
+    """A row for each leaf: hashed path, mean of its hashed words, counts."""
     x = np.zeros((len(page), PATHS + WORDS + COUNTS), np.float32)
-    seen: dict[tuple[str, ...], np.ndarray] = {}
     for i, leaf in enumerate(page):
-        if leaf.path not in seen:
-            row = np.zeros(PATHS, np.float32)
-            for step in leaf.path:
-                row[_place(step, PATHS, "p")] = 1
-            if leaf.path:
-                row[_place(leaf.path[-1], PATHS, "last")] = 1
-            seen[leaf.path] = row
-        x[i, :PATHS] = seen[leaf.path]
+        e = leaf.element
+        if e:
+            x[i, :PATHS] = np.unpackbits(np.frombuffer(e.bits.to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little")
+            x[i, _place(e.steps[-1], PATHS, "last")] = 1
         words = leaf.text.lower().split()
-        for w in set(words) if len(words) < 40 else ():
-            x[i, PATHS + _place(w, WORDS, "w")] += 1 / len(words)
+        x[i, PATHS : PATHS + WORDS] = np.bincount([_place(w, WORDS, "w") for w in words], minlength=WORDS) / len(words)
         stops = leaf.text.count(".") + leaf.text.count(",")
         n = len(leaf.text)
-        x[i, PATHS + WORDS :] = (np.log1p(len(words)) / 4, np.log1p(stops) / 3, min(1.0, leaf.linked / n), len(words) > 12, "©" in leaf.text, i / len(page), min(len(leaf.path), 12) / 12, 1)
+        x[i, PATHS + WORDS :] = (np.log1p(len(words)) / 4, np.log1p(stops) / 3, min(1.0, leaf.linked / n), len(words) > 12, "©" in leaf.text, i / len(page), min(e.depth if e else 0, 12) / 12, 1)
     return x
 
 
@@ -228,7 +269,7 @@ def drawn_page(pages: Pages) -> tuple[np.ndarray, np.ndarray]:
     markup = "".join(("\ue000" + t if label == 1 else t) for t, label in pages.page())
     found = leaves(markup)
     y = np.array(["\ue000" in f.text for f in found], np.float32)
-    return vectors([Leaf(f.text.replace("\ue000", "") or "x", f.path, f.linked) for f in found]), y
+    return vectors([Leaf(f.text.replace("\ue000", "") or "x", f.element, f.linked) for f in found]), y
 
 
 def train(n_pages: int = 1600, rounds: int = 5, batch: int = 16, rate: float = 0.01, seed: int = 3) -> BlockLstm:

@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -209,14 +211,25 @@ class Judge:
     def spans(self, candidates: list[dict]) -> tuple[list[tuple], list[tuple]]:
         """Base spans, and all spans, as (start, kind number, end) in order."""
         base = sorted((c["start"], KINDS.index(c["kind"]), c["end"]) for c in candidates if c["base"])
-        added, extra = [], [c for c in candidates if not c["base"]]
-        if extra:
-            belief = _design([c["kind"] for c in extra], [c["votes"] for c in extra], [c["features"] for c in extra]) @ self.weights
-            for c, s in sorted(zip(extra, belief, strict=True), key=lambda x: (-x[1], x[0]["start"], x[0]["end"])):
-                if s > 0 and all(c["end"] <= o[0] or c["start"] >= o[2] for o in base + added):
-                    added.append((c["start"], KINDS.index(c["kind"]), c["end"]))
+        extra = [c for c in candidates if not c["base"]]
+        # of the base spans that start before a place, the furthest end; spans added so far are disjoint
+        starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+        added: list[tuple] = []
+        for c in self.by_belief(extra):
+            k, i = bisect_left(starts, c["end"]), bisect_left(added, (c["end"],))
+            if not (k and reach[k - 1] > c["start"]) and not (i and added[i - 1][2] > c["start"]):
+                added.insert(i, (c["start"], KINDS.index(c["kind"]), c["end"]))
         return base, sorted(base + added)
 
+    def by_belief(self, extra: list[dict]) -> list[dict]:
+        """The candidates that the classifier believes in, the surest first."""
+        sure = []
+        for at in range(0, len(extra), ROWS):
+            some = extra[at : at + ROWS]
+            belief = _design([c["kind"] for c in some], [c["votes"] for c in some], [c["features"] for c in some]) @ self.weights
+            sure += [(-s, c["start"], c["end"], at + i) for i, (c, s) in enumerate(zip(some, belief.tolist(), strict=True)) if s > 0]
+        return [extra[i] for *_, i in sorted(sure)]
+
 
 ARROW_CANDIDATES = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
 

@@ -31,12 +31,12 @@ from pyspark.sql import types as T
 
 from .common import bounded_sample
 
-#: Labelled documents of each class that the machine is fitted on; landmarks; rounds of choosing stretches;
-#: words of a text that a round looks at.
-FIT_DOCS, LANDMARKS, ROUNDS, WORDS = 1000, 320, 4, 4
+#: Labelled documents of each class that the machine is fitted on, and characters of each at most; landmarks; rounds of
+#: choosing stretches; words of a text that a round looks at.
+FIT_DOCS, FIT_CHARS, LANDMARKS, ROUNDS, WORDS = 1000, 200_000, 320, 4, 4
 #: Kernel: letters that a subsequence spans after its first, discount for each, first letters in a stretch.
 SPAN, DECAY, STARTS = 5, 0.75, 6
-#: Decisions above this are worked out with the stretch's exact length; below it they lie far under any threshold.
+#: Decisions above this are worked out with the stretch's exact length; others stay below it, far under any threshold.
 EXACT_FROM = 0.0
 #: Characters worked on together.
 CHARS = 1_000_000
@@ -156,7 +156,7 @@ class Machine:
         plain = np.sqrt(np.maximum(size, 1e-6))
         out = np.where(size > 1e-6, (run[end] - run[:n]) / plain + self.offset, -2.0)
         # the length above takes every subsequence as another one; where that matters it is worked out
-        near = np.flatnonzero(out > EXACT_FROM)
+        near = np.flatnonzero((out > EXACT_FROM) | (size > 1e-6) & (self.offset > EXACT_FROM))
         for at in range(0, len(near), 20_000):
             i = near[at : at + 20_000]
             out[i] = (out[i] - self.offset) * plain[i] / np.maximum(norms(*subsequences(x, i)), plain[i]) + self.offset
@@ -303,17 +303,19 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, seed:
     return Machine(machine.table, machine.offset, float(a), float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = FIT_DOCS) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = FIT_DOCS, chars: int = FIT_CHARS) -> Machine:
     """Machine fitted on about ``per_class`` labelled documents of each class for which ``learn`` holds.
 
-    The sample is drawn from the labels; only its ids, of bounded number, meet the texts.
+    The sample is drawn from the labels; only its ids, of bounded number, meet the texts. Of rows with
+    one id the text of the least digest is taken; texts of over ``chars`` characters are not learned from.
     """
     drawn = bounded_sample(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & learn).select(key, label).distinct(), label, per_class, key, values=2)
-    drawn = F.broadcast(drawn.limit(4 * per_class))
-    rows = docs.where(F.col(text).isNotNull()).select(key, text).join(drawn, key).collect()
-    rows.sort(key=lambda r: (r[key], r[label], r[text]))
+    drawn = F.broadcast(drawn.orderBy(F.xxhash64(F.col(key).cast("string")), key, label).limit(4 * per_class))
+    found = docs.where(F.col(text).isNotNull() & (F.length(text) <= chars)).select(key, F.col(text).alias("t")).join(drawn, key)
+    rows = found.groupBy(key, label).agg(F.min(F.struct(F.md5("t"), "t")).alias("m")).select(key, label, "m.t").collect()
+    rows.sort(key=lambda r: (r[key], r[label], r["t"]))
     share = labels.where(F.col(label).isin(0, 1) & learn).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return train([r[text] for r in rows], [r[label] for r in rows], share)
+    return train([r["t"] for r in rows], [r[label] for r in rows], share)
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:

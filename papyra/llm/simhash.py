@@ -235,8 +235,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, seed: int = 42, t: int =
 
 #: Bits of a sketch, in lanes of 64; expected share of equal documents' pairs that meet in one table or more.
 LANES, RECALL = 4, 0.95
-#: Deviations above the bits expected at the threshold within which a pair's shingles are compared.
-SPREAD = 3.5
+#: Deviations above the bits expected at the threshold within which a pair's shingles are compared; deviations below
+#: them from which a pair is taken to be confirmed when it is compared.
+SPREAD, SURE = 3.5, 1.5
+#: Tables that give a pair: other pairs join the two in further ones.
+MEETINGS = 3
 #: Nodes whose digests are broadcast, 60 bytes each; more are met by a shuffle.
 BROADCAST_DIGESTS = 100_000
 #: Nodes that anchors of 23 bits alone tell apart well enough; beyond, tables add exact bits and grow in number.
@@ -310,8 +313,40 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) ->
             label[:] = to[label]
 
 
-def _candidates(limit: int):
-    """mapInArrow over rows (bucket, home, node, sketch) sorted by bucket, homes first: a least spanning forest of each bucket's pairs within ``limit`` bits."""
+class Tables:
+    """The parts of sketches that anchors are chosen by: for each table 23 bits that are covered, and bits that must be equal."""
+
+    def __init__(self, tables: int, exact: int, t: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.picks, self.exact, self.t = [rng.permutation(64 * LANES)[: GOLAY_N + exact] for _ in range(tables)], exact, t
+
+    def words(self, bits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Covered and exact parts of sketches, given as rows of bits, in table k."""
+        pick = self.picks[k]
+        word = (bits[:, pick[:GOLAY_N]] << np.arange(GOLAY_N, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        more = (bits[:, pick[GOLAY_N:]] << np.arange(self.exact, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return word.astype(np.int64), more.astype(np.int64)
+
+    @staticmethod
+    def bits(raw: bytes) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8 * LANES), axis=1).astype(np.uint64)
+
+    def met_before(self, a: np.ndarray, b: np.ndarray, table: np.ndarray, golay: GolayBlock) -> np.ndarray:
+        """In how many tables before this one the two meet: the one with the lower home is at the other's too, or visits it."""
+        x, y, out = self.bits(a.tobytes()), self.bits(b.tobytes()), np.zeros(len(a), np.int64)
+        for k in range(len(self.picks) - 1):
+            (v, p), (w, q) = self.words(x, k), self.words(y, k)
+            h, g = golay.home(v)[0], golay.home(w)[0]
+            out += (k < table) & (p == q) & (np.bitwise_count(golay.words[np.maximum(h, g)] ^ np.where(h < g, v, w)) <= GOLAY_R + self.t)
+        return out
+
+
+def _candidates(limit: int, sure: int, tables: Tables):
+    """mapInArrow over rows (bucket, home, node, sketch, table) sorted by bucket, homes first.
+
+    Of a bucket's pairs within ``limit`` bits, a least spanning forest. A pair is given by the first
+    ``MEETINGS`` tables that it meets in, one within ``sure`` bits by the first alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def forest(lanes: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,26 +366,32 @@ def _candidates(limit: int):
                 kept = [i[own], j[own], far[own]]
             return kept[0], kept[1]
 
-        def work(bucket: np.ndarray, home: np.ndarray, node: np.ndarray, lanes: np.ndarray) -> pa.RecordBatch:
+        golay = GolayBlock(tables.t)
+
+        def work(bucket: np.ndarray, home: np.ndarray, node: np.ndarray, lanes: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
             edge = np.flatnonzero(np.diff(bucket)) + 1
             start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(bucket)]))
             homes = np.add.reduceat(home.astype(np.int64), start)
             two = (homes > 0) & (end - start == 2)  # most buckets: no loop for those
             p = start[two]
             near = np.bitwise_count(lanes[p] ^ lanes[p + 1]).sum(axis=1, dtype=np.int64) <= limit
-            a, b = [node[p[near]]], [node[p[near] + 1]]
+            a, b = [p[near]], [p[near] + 1]
             more = (homes > 0) & (end - start > 2)
             for s, e, h in zip(start[more].tolist(), end[more].tolist(), homes[more].tolist(), strict=True):
                 i, j = forest(lanes[s:e], h)
                 if len(i):
-                    a.append(node[s + i])
-                    b.append(node[s + j])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
+                    a.append(s + i)
+                    b.append(s + j)
+            a, b = np.concatenate(a), np.concatenate(b)
+            # close pairs meet in most tables; what joins them in the first one is as close, so there they are linked already
+            far = np.bitwise_count(lanes[a] ^ lanes[b]).sum(axis=1, dtype=np.int64)
+            own = tables.met_before(lanes[a], lanes[b], table[a], golay) < np.where(far <= sure, 1, MEETINGS)
+            return pa.RecordBatch.from_arrays([pa.array(node[a[own]]), pa.array(node[b[own]])], names=["a", "b"])
+
+        held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64), np.zeros(0, np.int32)]
         for batch in batches:
             raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LANES)
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), raw]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), raw, batch.column(4).to_numpy()]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if done:
@@ -422,38 +463,35 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
     nodes = prints.groupBy("node").agg(F.min_by("sketch", "check").alias("sketch"), first.alias("first"), F.count("*").alias("n"))
     nodes = cut(nodes.withColumn("digest", F.col("first.digest")))
     n_nodes, total = nodes.count(), prints.count()
-    tables, exact = plan_tables(n_nodes, similarity, t)
-    rng = np.random.default_rng(seed)
-    picks = [rng.permutation(64 * LANES)[: GOLAY_N + exact] for _ in range(tables)]
+    tables = Tables(*plan_tables(n_nodes, similarity, t), t, seed)
     p = differing_share(similarity)
-    limit = round(64 * LANES * p + SPREAD * (64 * LANES * p * (1 - p)) ** 0.5)
+    limit, sure = (round(64 * LANES * p + by * (64 * LANES * p * (1 - p)) ** 0.5) for by in (SPREAD, -SURE))
 
     def emit(batches: Iterator[pa.RecordBatch], visit: bool = True) -> Iterator[pa.RecordBatch]:
-        golay = GolayBlock(t)
+        golay, n = GolayBlock(t), len(tables.picks)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 node, raw = batch.column(0), batch.column(1)
-                bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(node), -1), axis=1).astype(np.uint64)
-                for k, pick in enumerate(picks):
-                    word = (bits[:, pick[:GOLAY_N]] << np.arange(GOLAY_N, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-                    more = (bits[:, pick[GOLAY_N:]] << np.arange(exact, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(np.int64)
+                bits = tables.bits(b"".join(raw.to_pylist()))
+                for k in range(n):
+                    word, more = tables.words(bits, k)
                     if not visit:
-                        yield pa.RecordBatch.from_arrays([pa.array(((more * 4096) + golay.home(word.astype(np.int64))[0]) * tables + k)], names=["bucket"])
+                        yield pa.RecordBatch.from_arrays([pa.array(((more * 4096) + golay.home(word)[0]) * n + k)], names=["bucket"])
                         continue
                     home, row, anchor = cover(word, 1, t, golay)
                     rows = np.concatenate((np.arange(len(node)), row))
-                    name = ((more[rows] * 4096) + np.concatenate((home, anchor))) * tables + k
+                    name = ((more[rows] * 4096) + np.concatenate((home, anchor))) * n + k
                     take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.arange(len(rows)) < len(node)), node.take(take), raw.take(take)], names=["bucket", "home", "node", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.arange(len(rows)) < len(node)), node.take(take), raw.take(take), pa.array(np.full(len(rows), k, np.int32))], names=["bucket", "home", "node", "sketch", "table"])
 
     some = nodes.select("node", "sketch")
     at_home = some.mapInArrow(lambda batches: emit(batches, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
     heavy = cut(at_home.where(F.col("n") > HEAVY).select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")))
-    rows = _grid(some.mapInArrow(emit, "bucket long, home boolean, node long, sketch binary"), heavy, "node")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * tables // 100_000)
+    rows = _grid(some.mapInArrow(emit, "bucket long, home boolean, node long, sketch binary, table int"), heavy, "node")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * len(tables.picks) // 100_000)
     dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
-    pairs = dealt.mapInArrow(_candidates(limit), "a long, b long")
+    pairs = dealt.mapInArrow(_candidates(limit, sure, tables), "a long, b long")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = components(_confirmed(pairs, nodes, texts, total, words, similarity))
     named = nodes.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))

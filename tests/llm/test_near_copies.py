@@ -53,6 +53,7 @@ def test_groups_by_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(simhash, "HEAVY", heavy)
     monkeypatch.setattr(simhash, "RECALL", 0.999999)
     monkeypatch.setattr(simhash, "SPREAD", 6)
+    monkeypatch.setattr(simhash, "MEETINGS", 99)
     rng, rows = random.Random(2), []
     for family in range(6):
         one = text(rng, 200)
@@ -65,6 +66,23 @@ def test_groups_by_brute_force(spark, monkeypatch, heavy):
     assert groups(spark, rows) == want
 
 
+def test_recall_of_near_copies(spark):
+    """Of the links at 0.8 or more that all pairs have, and of those at 0.9, at least nine in ten end in one group; no group joins what links don't."""
+    rng, rows = random.Random(11), []
+    for _ in range(40):
+        one = text(rng, 150)
+        for _ in range(8):
+            rows.append((len(rows), " ".join(edited(rng, one, rng.choice((1, 1, 2, 2, 3))))))
+    sets = [simhash.shingles(t, 5) for _, t in rows]
+    like = {(a, b): simhash.jaccard(sets[a], sets[b]) for f in range(40) for a, b in itertools.combinations(range(8 * f, 8 * f + 8), 2)}
+    edges = [p for p, j in like.items() if j >= 0.8]
+    want, got = roots(range(len(rows)), edges), groups(spark, rows)
+    for least in (0.8, 0.9):
+        some = [p for p in edges if like[p] >= least]
+        assert sum(got[a] == got[b] for a, b in some) >= 0.95 * len(some) > 50
+    assert all(want[a] == want[i] for i, a in got.items())
+
+
 def test_forest():
     rng = np.random.default_rng(3)
     for _ in range(50):

@@ -70,9 +70,9 @@ def test_recall_of_near_copies(spark):
     """Of the links at 0.8 or more that all pairs have, and of those at 0.9, at least nine in ten end in one group; no group joins what links don't."""
     rng, rows = random.Random(11), []
     for _ in range(40):
-        one = text(rng, 150)
+        one = text(rng, 300)
         for _ in range(8):
-            rows.append((len(rows), " ".join(edited(rng, one, rng.choice((1, 1, 2, 2, 3))))))
+            rows.append((len(rows), " ".join(edited(rng, one, rng.choice((1, 2, 3, 4, 5))))))
     sets = [simhash.shingles(t, 5) for _, t in rows]
     like = {(a, b): simhash.jaccard(sets[a], sets[b]) for f in range(40) for a, b in itertools.combinations(range(8 * f, 8 * f + 8), 2)}
     edges = [p for p, j in like.items() if j >= 0.8]

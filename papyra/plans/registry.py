@@ -574,36 +574,101 @@ def glossary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.forms_by_term(forms)
 
 
-@query()
-def hidden_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segmentation with hidden boxes over the first lines of each page, each giving up twenty glyphs."""
-    pages = _glyphs(spark, sf_dir)
-    hidden = pages.select("doc", "page").distinct().select("doc", "page", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(0.0).alias("x0"), F.lit(760.0 - 30 * i).alias("y0"), F.lit(600.0).alias("x1"), F.lit(820.0).alias("y1"), F.lit(20.0).alias("n")) for i in range(2)])).alias("b")).select("doc", "page", "b.*")
-    s = segment.segment(pages, hidden=hidden)
-    return s.groupBy("doc", "page").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("paras"))
+# ---- segmentation and typesetting on glyphs made from the carrier --------------------------------
 
+#: Boxes of the hidden-text carrier: x0, y0, x1, y1 and how many glyphs each hides.
+HIDDEN = [(0.0, 760.0, 600.0, 820.0, 20), (100.0, 700.0, 300.0, 800.0, 15)]
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carrier for glyphs: a page is 40 lines, its glyphs their words, in twelve columns that wide words reach over.
+
+    Three lines share a region, every eleventh is kept as it is, every seventh begins in a font of
+    formulas, and a rule stands under every fifth. Brackets are square. One row a page, no shuffle.
+    """
+    docs = _paras(spark, sf_dir).where(F.size("paras") > 0)
+    page = F.sequence(F.lit(0), F.floor((F.size("paras") - 1) / 40).cast("int"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc"), "paras", F.explode(page).alias("page"))
+    empty, one = F.lit(None).cast("array<double>"), F.lit(1.0)
+
+    def line(text: Column, at: Column) -> Column:
+        i, y = F.col("page") * 40 + at, 800.0 - at * 12.0
+        region = F.when(i % 11 == 5, 0).otherwise(2 + F.floor(i / 3)).cast("int")
+
+        def item(kind: str, text: Column, x0: Column, y0: Column, x1: Column, y1: Column, size: float, font: Column) -> Column:
+            return F.struct(F.lit(0).alias("container"), F.lit(kind).alias("kind"), text.alias("text"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.lit(size).alias("size"), font.alias("font"), one.alias("m0"), one.alias("m3"), region.alias("region"), empty.alias("color"))
+
+        def word(w: Column, k: Column) -> Column:
+            x = 72.0 + (k % 12) * 40.0
+            font = F.when((i % 7 == 3) & (k < 3), "ABCDEF+CMMI10").otherwise("ABCDEF+Times")
+            return item("glyph", w, x, y, x + F.length(w) * 6.0, y + 10.0, 10.0, font)
+
+        words = F.transform(F.filter(F.split(F.translate(text, "()", "[]"), " "), lambda w: w != ""), word)
+        rule = F.array(item("line", F.lit(""), F.lit(72.0), y - 2.0, F.lit(172.0), y - 2.0, 1.0, F.lit("")))
+        return F.concat(words, F.when(i % 5 == 0, rule).otherwise(F.filter(rule, lambda _: F.lit(False))))
+
+    items = F.flatten(F.transform(F.slice("paras", F.col("page") * 40 + 1, 40), line))
+    return docs.select("doc", "page", F.lit(600.0).alias("page_width"), items.alias("items"))
+
+
+def _segment_sql(hidden: bool = False) -> str:
+    """Paragraphs and formulas of the carrier by windows: its sizes are one, so only regions, fonts, characters and places tell."""
+    inside = lambda b: f"((x0 + x1) / 2 BETWEEN {b[0]} AND {b[2]} AND y0 + 5 BETWEEN {b[1]} AND {b[3]})"
+    first, second = HIDDEN
+    stay = f"""h1 AS (SELECT *, {inside(first)} AND sum(CAST({inside(first)} AS INTEGER)) OVER (PARTITION BY doc, page ORDER BY i, k) <= {first[4]} AS gone1 FROM g0),
+h2 AS (SELECT *, NOT gone1 AND {inside(second)} AS in2 FROM h1),
+g AS (SELECT * EXCLUDE (gone1, in2, gone2) FROM (SELECT *, in2 AND sum(CAST(in2 AS INTEGER)) OVER (PARTITION BY doc, page ORDER BY i, k) <= {second[4]} AS gone2 FROM h2) WHERE NOT gone1 AND NOT gone2)"""
+    return rf"""{PARAS},
+l AS (SELECT doc_id, i, list_filter(string_split(translate(text, '()', '[]'), ' '), lambda w: w <> '') AS ws FROM p),
+w AS (SELECT doc_id, i, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS k, unnest(ws) AS t FROM l),
+g0 AS (SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(i // 40 AS INTEGER) AS page, i, k, t, CAST(72 + 40 * (k % 12) AS DOUBLE) AS x0, CAST(72 + 40 * (k % 12) + 6 * length(t) AS DOUBLE) AS x1,
+  CAST(800 - 12 * (i % 40) AS DOUBLE) AS y0, CASE WHEN t = '•' OR i % 11 = 5 THEN 0 ELSE 2 + i // 3 END AS region FROM w),
+{stay if hidden else "g AS (SELECT * FROM g0)"},
+a AS (SELECT *, row_number() OVER o AS n, lag(x0) OVER o AS px0, lag(x1) OVER o AS px1, lag(y0) OVER o AS py0, coalesce(region <> lag(region) OVER o, true) AS moved,
+  region = 0 OR (i % 7 = 3 AND k < 3) OR regexp_matches(t, '^[\p{{Lm}}\p{{Mn}}\p{{Sk}}\p{{Sm}}\p{{Zl}}\p{{Zp}}\p{{Zs}}\x{{0370}}-\x{{03FF}}]') AS f FROM g WINDOW o AS (PARTITION BY doc, page ORDER BY i, k)),
+b AS (SELECT *, sum(CAST(moved AS INTEGER)) OVER (PARTITION BY doc, page ORDER BY n) AS island FROM a),
+c AS (SELECT *, moved OR n = coalesce(min(CASE WHEN NOT f THEN n END) OVER (PARTITION BY doc, page, island), -1) AND bool_and(f) OVER (PARTITION BY doc, page, island ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS new FROM b),
+d AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc, page ORDER BY n) - 1 AS para, lag(f) OVER (PARTITION BY doc, page ORDER BY n) AS pf FROM c),
+e AS (SELECT *, f AND (new OR NOT pf OR (abs(x0 - px0) > 150 AND NOT bool_and(f) OVER (PARTITION BY doc, page, para))) AS opens, x0 > px1 + 1 AS gap, x1 < px0 AS back FROM d),
+s AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc, page ORDER BY n) - 1 AS formula, NOT new AND (NOT f OR opens) AS joins FROM e)"""
+
+
+@query(rf"""WITH {_segment_sql()}
+SELECT doc, page, CAST(para AS INTEGER) AS para, md5(string_agg(CASE WHEN joins AND (gap OR back) THEN ' ' ELSE '' END || CASE WHEN NOT f THEN t WHEN opens THEN '{{v' || formula || '}}' ELSE '' END, '' ORDER BY n)) AS text_md5,
+min(x0) AS x0, max(x1) AS x1, arg_min(y0, n) AS y, bool_or(joins AND back AND NOT gap) AS brk FROM s GROUP BY doc, page, para""")
+def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segment.segment(_pages(spark, sf_dir))
+    return s.select("doc", "page", "para", F.md5("text").alias("text_md5"), "x0", "x1", "y", "brk")
 
-# ---- segmentation and typesetting on glyphs made from the carrier --------------------------------
 
+@query(rf"""WITH {_segment_sql()},
+q AS (SELECT *, lead(f) OVER o AS nf, lead(island) OVER o AS ni, lead(x0) OVER o AS nx, lead(y0) OVER o AS ny, n = max(n) OVER (PARTITION BY doc, page, i) AND i % 5 = 0 AS ruled FROM s WINDOW o AS (PARTITION BY doc, page ORDER BY n)),
+m AS (SELECT doc, page, formula, md5(string_agg(t, '' ORDER BY n)) AS text_md5, max(x1) - arg_min(x0, n) AS width, max(x0) AS mx, arg_min(y0, n) AS fy, CAST(sum(CAST(ruled AS INTEGER)) AS INTEGER) AS lines,
+  arg_min(CASE WHEN NOT new AND x0 > px0 THEN y0 - py0 ELSE 0.0 END, n) AS lift, arg_max(struct_pack(x := CASE WHEN NOT nf AND ni = island THEN nx END, y := ny), n) AS after,
+  arg_max(CASE WHEN regexp_matches(t, '^[\p{{Lm}}\p{{Mn}}\p{{Sk}}]') THEN x1 - x0 ELSE 0.0 END, n) AS modifier FROM q WHERE f GROUP BY doc, page, formula)
+SELECT doc, page, CAST(formula AS INTEGER) AS formula, text_md5, width, CAST(CASE WHEN after.x > mx THEN fy - after.y ELSE lift END AS DOUBLE) AS shift, CAST(modifier AS DOUBLE) AS modifier, lines FROM m""")
+def segment_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = segment.formulas(_pages(spark, sf_dir))
+    return f.select("doc", "page", "formula", F.md5("text").alias("text_md5"), "width", "shift", "modifier", F.size("lines").alias("lines"))
 
-def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The characters of each line as glyphs six wide; every seventh line is in a formula font."""
-    lines = _page(spark, sf_dir)
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    each = lines.select("doc", "page", "line", "y0", F.posexplode(chars).alias("k", "text"))
-    x = 72.0 + 6 * (F.col("k") % 80)
-    font = F.when((F.col("line") % 7 == 3) & (F.col("k") < 5), "ABCDEF+CMMI10").otherwise("ABCDEF+Times")
-    return each.select(F.col("doc").cast("string").alias("doc"), "page", F.lit(0).alias("container"), (F.col("line") * 100_000 + F.col("k")).cast("long").alias("seq"), F.lit("glyph").alias("kind"), "text", x.alias("x0"), (800.0 - F.col("y0")).alias("y0"), (x + 6).alias("x1"), (810.0 - F.col("y0")).alias("y1"), F.lit(10.0).alias("size"), font.alias("font"), F.lit(1.0).alias("m0"), F.lit(1.0).alias("m3"), (2 + F.floor(F.col("line") / 3)).cast("int").alias("region"), F.lit(600.0).alias("page_width"))
 
+@query(rf"""WITH {_segment_sql(hidden=True)},
+u AS (SELECT doc, page, para, string_agg(CASE WHEN joins AND (gap OR back) THEN ' ' ELSE '' END || CASE WHEN NOT f THEN t WHEN opens THEN '{{v' || formula || '}}' ELSE '' END, '' ORDER BY n) AS text FROM s GROUP BY doc, page, para)
+SELECT doc, page, CAST(para AS INTEGER) AS para, md5(text) AS text_md5 FROM u""")
+def hidden_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentation with two hidden boxes that overlap, each of which takes the first glyphs it still finds."""
+    box = lambda b: F.struct(*[F.lit(float(v)).alias(c) for c, v in zip(("x0", "y0", "x1", "y1", "n"), b, strict=True)])
+    s = segment.segment(_pages(spark, sf_dir).withColumn("hidden", F.array(*map(box, HIDDEN))))
+    return s.select("doc", "page", "para", F.md5("text").alias("text_md5"))
 
-@query()
-def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segment.segment(_glyphs(spark, sf_dir))
-    return s.select("doc", "page", "para", F.md5("text").alias("text_md5"), "x0", "x1", "brk")
+
+#: Advances of the carrier's two fonts, in the size.
+WIDTHS = {("tiro", chr(c)): 0.6 for c in range(32, 127)}
 
 
 @query()
 def typeset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paras = segment.segment(_glyphs(spark, sf_dir)).withColumn("translation", F.upper("text"))
-    widths = {("tiro", chr(c)): 0.6 for c in range(32, 127)}
-    return typeset.typeset(paras, widths).select("doc", "page", "para", "seq", "kind", "line", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    """Each page set anew, in capitals, as the content stream of its container."""
+    pages = typeset.translated(segment.read(_pages(spark, sf_dir)), with_text=F.upper)
+    streams = typeset.drawn(typeset.typeset(pages, WIDTHS))
+    return streams.select("doc", "page", F.md5("stream").alias("stream_md5"), F.length("stream").alias("chars"), F.regexp_count("stream", F.lit(" TJ ")).alias("runs"), F.regexp_count("stream", F.lit(" l S ")).alias("lines"))

@@ -2,7 +2,7 @@
 
 import random
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
@@ -130,43 +130,94 @@ def test_detectors(spark):
     assert {tuple(r) for r in detect.without_contents(wanted, found.unionByName(found.withColumns({"doc": F.lit("e")}))).collect()} == {("d", 1), ("e", 0)}
 
 
-def glyphs(words, region=2, font="Times", size=10.0, y=700.0, x=50.0):
+def glyphs(words, region=2, font="Times", size=10.0, y=700.0, x=50.0, container=0):
     out = []
     for c in words:
-        out.append([c, x, y, x + 5, y + size, size, font, region])
+        out.append({"container": container, "kind": "glyph", "text": c, "x0": x, "y0": y, "x1": x + 5, "y1": y + size, "size": size, "font": font, "m0": 1.0, "m3": 1.0, "region": region, "color": None})
         x += 5.0
     return out
 
 
-def read(rows, **options):
-    frame = pd.DataFrame([("d", 0, 0, i, "glyph", r[0], *r[1:5], r[5], r[6], 1.0, 1.0, r[7], 600.0) for i, r in enumerate(rows)], columns="doc page container seq kind text x0 y0 x1 y1 size font m0 m3 region page_width".split())
-    ((_, reader),) = segment.read_page(frame, **options)
-    return reader
+def rule(region, x=50.0, y=690.0, container=0, width=1.0):
+    return {"container": container, "kind": "line", "text": "", "x0": x, "y0": y, "x1": x + 30, "y1": y, "size": width, "font": "", "m0": 1.0, "m3": 1.0, "region": region, "color": None}
+
+
+ITEMS = pa.struct([(f, {"container": pa.int32(), "region": pa.int32(), "color": pa.list_(pa.float64())}.get(f, pa.string() if f in ("kind", "text", "font") else pa.float64())) for f in segment.FIELDS])
+
+
+def read_all(items, hidden=None, **options):
+    columns = segment.Columns.of(pa.array(items, ITEMS), **options)
+    return dict(segment.containers(columns, 600.0, [dict(zip(("x0", "y0", "x1", "y1", "n"), b, strict=True)) for b in hidden or []]))
+
+
+def read(items, **options):
+    (one,) = read_all(items, **options).values()
+    return one
+
+
+def said(container):
+    return ["".join(p.parts) for p in container.paras]
 
 
 def test_segment_paragraphs():
     r = read(glyphs("one") + glyphs("two", x=80) + glyphs("next", y=680) + glyphs("other", region=3, y=600))
-    assert [p.text for p in r.paras] == ["one two next", "other"] and [p.brk for p in r.paras] == [True, False]
-    assert (r.paras[0].x0, r.paras[0].x1) == (50, 95)
+    assert said(r) == ["one two next", "other"] and [p.brk for p in r.paras] == [True, False]
+    assert (r.paras[0].box[0], r.paras[0].box[2]) == (50, 95)
+    assert read_all([]) == {} and said(read([rule(2)])) == [] and len(read([rule(2)]).rules) == 1
+
+
+def test_segment_sizes():
+    """An initial doesn't set the size of its paragraph; a larger letter does, and the tops align."""
+    initial = read(glyphs("T", size=30.0, y=680.0) + glyphs("he rest", size=10.0, x=55.0))
+    assert said(initial) == ["The rest"] and (initial.paras[0].size, initial.paras[0].y) == (10, 700)
+    grows = read(glyphs("ab", size=10.0) + glyphs("cd", size=12.0, x=60.0))
+    assert (grows.paras[0].size, grows.paras[0].y) == (12, 698)
+    spaced = read(glyphs(" a", size=30.0) + glyphs(" b", size=20.0, x=60.0))
+    assert said(spaced) == [" a b"] and spaced.paras[0].size == 20
 
 
 def test_segment_formulas():
     r = read(glyphs("let ") + glyphs("x", font="ABC+CMMI10", x=70) + glyphs("(", x=75) + glyphs("y", font="CMMI10", x=80) + glyphs(")", x=85) + glyphs("be", x=92))
-    assert [p.text for p in r.paras] == ["let {v0} be"]
-    assert "".join(g.text for g in r.formulas[0].glyphs) == "x(y)"
+    assert said(r) == ["let {v0} be"]
+    assert r.formula_rows(0)[0]["text"] == "x(y)"
     small = read(glyphs("ab") + glyphs("2", size=7.0, x=60))
-    assert small.paras[0].text == "ab{v0}"
-    assert read(glyphs("α", x=50)).paras[0].text == "{v0}"
-    assert read(glyphs("•") + glyphs("item", x=60)).paras[0].text == "{v0}"
-    assert [p.text for p in read(glyphs("ab", region=0)).paras] == ["{v0}"]
+    assert said(small) == ["ab{v0}"]
+    assert said(read(glyphs("α", x=50))) == ["{v0}"]
+    assert said(read(glyphs("•") + glyphs("item", x=60))) == ["{v0}", "item"]
+    assert said(read(glyphs("ab", region=0))) == ["{v0}"]
+    assert said(read(glyphs("(a)"))) == ["(a)"]
+    # a bracket that a formula opened is closed by the next one, however far
+    assert said(read(glyphs("a=(b) c)"))) == ["a{v0}b{v1} c)"]
+
+
+def test_formulas_end_at_jumps_in_text_only():
+    far = lambda: glyphs("x", font="CMMI10", x=60) + glyphs("y", font="CMMI10", x=400)
+    assert said(read(glyphs("ab") + far())) == ["ab{v0} {v1}"]
+    assert said(read(far())) == ["{v0}"]
+
+
+def test_formula_shift_width_and_lines():
+    r = read(glyphs("ab", y=700) + glyphs("xˆ", font="CMMI10", x=60, y=703) + [rule(2)] + glyphs("c", x=75, y=701) + [rule(2), rule(7, width=9.0)])
+    (f,) = r.formula_rows(0)
+    assert (f["width"], f["shift"], f["modifier"], len(f["lines"]), len(r.rules)) == (10, 2, 5, 1, 2)
+    (alone,) = read(glyphs("ab", y=700) + glyphs("x", font="CMMI10", x=60, y=703)).formula_rows(0)
+    assert alone["shift"] == 3
+
+
+def test_containers_in_the_order_of_their_first_item():
+    mixed = glyphs("AA", container=9) + glyphs("bb", container=2, x=300) + glyphs("cc", container=9, x=60)
+    assert [(k, said(v)) for k, v in read_all(mixed).items()] == [(9, ["AAcc"]), (2, ["bb"])]
+    # they share the boxes: the first one takes what it can
+    box = [[0.0, 0.0, 600.0, 800.0, 3]]
+    assert [(k, said(v)) for k, v in read_all(mixed, hidden=box).items()] == [(9, ["c"]), (2, ["bb"])]
 
 
 def test_segment_hidden_budget():
     both = glyphs("COND") + glyphs("PRED")
     r = read(both, hidden=[[0.0, 0.0, 600.0, 800.0, 4]])
-    assert [p.text.replace(" ", "") for p in r.paras] == ["PRED"]
+    assert [t.replace(" ", "") for t in said(r)] == ["PRED"]
     twice = read(both, hidden=[[0.0, 0.0, 600.0, 800.0, 2], [0.0, 0.0, 600.0, 800.0, 1]])
-    assert "".join(p.text for p in twice.paras).replace(" ", "") == "DPRED"
+    assert "".join(said(twice)).replace(" ", "") == "DPRED"
 
 
 def test_formula_rules():
@@ -176,28 +227,79 @@ def test_formula_rules():
     assert segment.is_formula_glyph("Times", "a", vchar="a") and not segment.is_formula_glyph("CMMI10", "x", vfont="Other")
 
 
+ROWS = "doc string, page int, container int, seq long, kind string, text string, x0 double, y0 double, x1 double, y1 double, size double, font string, m0 double, m3 double, region int, page_width double"
+
+
+def frame(spark, pages):
+    rows = [("d", page, g["container"], i, *(g[c] for c in ("kind", "text", "x0", "y0", "x1", "y1", "size", "font", "m0", "m3", "region")), 600.0) for page, items in pages.items() for i, g in enumerate(items)]
+    return spark.createDataFrame(rows, ROWS).repartition(3)
+
+
 def test_segment_on_spark(spark):
-    rows = [("d", 0, 0, i, "glyph", r[0], *map(float, r[1:5]), r[5], r[6], 1.0, 1.0, r[7], 600.0) for i, r in enumerate(glyphs("one") + glyphs("2", font="CMMI10", x=66))]
-    kind = "doc string, page int, container int, seq long, kind string, text string, x0 double, y0 double, x1 double, y1 double, size double, font string, m0 double, m3 double, region int, page_width double"
-    df = spark.createDataFrame(rows, kind)
+    df = frame(spark, {0: glyphs("one") + glyphs("2", font="CMMI10", x=66.0)})
     assert [r["text"] for r in segment.segment(df).collect()] == ["one{v0}"]
     assert [(r["text"], r["width"]) for r in segment.formulas(df).collect()] == [("2", 5)]
     hidden = spark.createDataFrame([("d", 0, 0, 0.0, 0.0, 600.0, 800.0, 2.0)], "doc string, page int, i int, x0 double, y0 double, x1 double, y1 double, n double")
     assert [r["text"] for r in segment.segment(df, hidden=hidden).collect()] == ["e{v0}"]
 
 
-def test_typeset(spark):
-    widths = {("tiro", c): 0.5 for c in "abcdefgh "}
-    para = {"x": 10.0, "x0": 10.0, "x1": 40.0, "y": 100.0, "y0": 70.0, "y1": 110.0, "size": 10.0, "brk": True}
-    got = list(typeset.break_lines("abcdef gh", para, widths, {}))
-    assert [(p["text"], p["line"], p["x"]) for p in got] == [("abcdef", 0, 10), ("gh", 1, 10)]
-    one = list(typeset.break_lines("abcdef gh", para | {"brk": False}, widths, {}))
-    assert {p["line"] for p in one} == {0}
-    mixed = list(typeset.break_lines("ab{v0}字{v9}c", para | {"x1": 400.0}, widths, {0: {"width": 20.0}}))
-    assert [(p["kind"], p["font"], p["text"], p["x"]) for p in mixed] == [("text", "tiro", "ab", 10), ("formula", None, "{v0}", 20), ("text", "noto", "字", 40), ("text", "tiro", "c", 45)]
+METRICS = typeset.Metrics({("tiro", c): 0.5 for c in "abcdefgh "})
+PARA = {"x": 10.0, "x0": 10.0, "x1": 40.0, "y": 100.0, "y0": 70.0, "y1": 110.0, "size": 10.0, "brk": True}
+
+
+def runs(text, para=PARA, formulas=None):
+    return typeset.set_paragraph(para, text, METRICS, formulas or {})
+
+
+def formula(width=20.0, shift=2.0, modifier=0.0, lines=()):
+    return {"width": width, "shift": shift, "modifier": modifier, "glyphs": [{"text": "x", "font": "CM", "size": 9.0, "x": 300.0, "y": 50.0, "color": [1.0, 0.0, 0.0]}, {"text": "2", "font": "CM", "size": 6.0, "x": 306.0, "y": 53.0, "color": None}], "lines": list(lines)}
+
+
+def test_lines():
+    got, lines = runs("abcdef gh")
+    assert lines == 2 and [(p["text"], p["line"], p["x"]) for p in got] == [("abcdef", 0, 10), ("gh", 1, 10)]
+    one, lines = runs("abcdef gh", PARA | {"brk": False})
+    assert lines == 1 and "".join(p["text"] for p in one) == "abcdef gh"
+    mixed, _ = runs("ab{v0}字{v9}c", PARA | {"x1": 400.0}, {0: formula()})
+    assert [(p["font"], p["text"], p["x"], p["up"]) for p in mixed] == [("tiro", "ab", 10, 0), ("CM", "x", 20, 2), ("CM", "2", 26, 5), ("noto", "字", 40, 0), ("tiro", "c", 45, 0)]
+    first, _ = runs("{ V 0 }ab", PARA | {"x1": 400.0}, {0: formula(modifier=4.0)})
+    assert [(p["text"], p["x"], p["up"]) for p in first] == [("x", 10, 0), ("2", 16, 3), ("ab", 26, 0)]
+    assert runs("")[0] == [] and runs("{v3}")[0] == []
     assert typeset.line_height("zh-CN") == 1.4 and typeset.line_height("xx") == 1.1
     assert abs(typeset.fitted_height(4, 10, 45, 1.4) - 1.1) < 0.06 and typeset.fitted_height(1, 10, 45, 1.4) == 1.4
-    df = spark.createDataFrame([("d", 0, 0, "abcdef gh", *[float(para[k]) for k in ("x", "y", "x0", "x1", "y0", "y1", "size")], True), ("d", 0, 1, None, *[1.0] * 7, False)], "doc string, page int, para int, translation string, x double, y double, x0 double, x1 double, y0 double, y1 double, size double, brk boolean")
-    assert [(r["text"], r["line"]) for r in typeset.typeset(df, widths).orderBy("seq").collect()] == [("abcdef", 0), ("gh", 1)]
-    op = spark.range(1).select(typeset.text_operator(F.lit("F1"), F.lit(9.0), F.lit(1.0), F.lit(2.0), F.lit("41")).alias("r")).first()["r"]
-    assert op == "/F1 9.000000 Tf 1 0 0 1 1.000000 2.000000 Tm [<41>] TJ "
+
+
+def test_places_cell_by_cell():
+    """Lines found in the sums of advances are those of walking over the cells one by one."""
+    rng = random.Random(12)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "b", " ", "字", "{v0}", "  "]) for _ in range(rng.randrange(600 if rng.random() < 0.1 else 40)))
+        para = PARA | {"brk": rng.random() < 0.7, "x": rng.choice([10.0, 10.0, 14.0]), "x1": rng.choice([12.0, 30.0, 70.0])}
+        cells = typeset.Cells.of(text, 10.0, METRICS, {0: formula(rng.choice([4.0, 33.0]), modifier=rng.choice([0.0, 3.0]))})
+        x, line, _, out = typeset.place(cells, para)
+        at, row = para["x"], 0
+        for i, code in enumerate(cells.code.tolist()):
+            if para["brk"] and at + cells.advance[i] > para["x1"] + 1.0:
+                at, row = para["x0"], row + 1
+            skipped = at == para["x0"] and code == 32
+            assert (round(x[i], 6), line[i], out[i]) == (round(at, 6), row, skipped), (text, i, para)
+            at += 0 if skipped else cells.step[i]
+
+
+def test_typeset(spark):
+    """Formulas are told apart by page, colours stated where they change, thick lines left out, loose lines drawn last."""
+    red = [g | {"color": [1.0, 0.0, 0.0]} for g in glyphs("x", font="CMMI10", x=60.0)]
+    pages = {0: [*glyphs("ab"), *red, rule(2), *glyphs("a", x=65.0), rule(5, width=2.0), rule(5, width=6.0)], 1: [*glyphs("ab"), *glyphs("y", font="CMMI10", x=60.0)]}
+    df = frame(spark, pages).withColumn("color", F.when(F.col("text") == "x", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))))
+    found = segment.read(segment.by_page(df))
+    paras = found.select("doc", "page", F.inline("paras"))
+    told = paras.select("doc", "page", "container", "para", F.upper("text").alias("translation"))
+    widths = {("tiro", chr(c)): 0.5 for c in range(32, 127)}
+    ops = typeset.typeset(typeset.translated(found, told), widths)
+    got = {r["page"]: [(o["kind"], o["text"], o["color"]) for o in r["ops"]] for r in ops.collect()}
+    assert got == {0: [("text", "AB", "0 g "), ("text", "x", "1.000000 0.000000 0.000000 rg "), ("line", None, None), ("text", "A", "0 g "), ("line", None, None)], 1: [("text", "AB", "0 g "), ("text", "y", None)]}
+    streams = {r["page"]: r["stream"] for r in typeset.drawn(ops).collect()}
+    assert streams[1] == "BT 0 g /tiro 10.000000 Tf 1 0 0 1 50.000000 700.000000 Tm [<4142>] TJ /CMMI10 10.000000 Tf 1 0 0 1 60.000000 700.000000 Tm [<79>] TJ ET "
+    assert "ET q 1 0 0 1 50.000000 690.000000 cm [] 0 d 0 J 2.000000 w 0 0 m 30.000000 0.000000 l S Q BT ET " in streams[0]
+    same = typeset.typeset(typeset.translated(found, told.where("page = 1")), widths).where("page = 0").first()["ops"]
+    assert [o["text"] for o in same if o["kind"] == "text"] == ["ab", "x", "a"]  # without a translation the text stays

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyra.functions.text import strip
@@ -48,9 +47,3 @@ def aligned(requests: DataFrame, replies: DataFrame, by: str, item: str, text: s
     both = asked.join(got, by, "left").withColumn("got", F.coalesce("got", F.expr("slice(asked, 1, 0)")))
     missing, extra = F.size(F.array_except("asked", "got")), F.size(F.array_except("got", "asked"))
     return both.select(by, ((missing == 0) & (extra == 0) & ~F.coalesce("blank", F.lit(False))).alias("accepted"), missing.alias("missing"), extra.alias("extra"))
-
-
-def latest_by_window(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``upsert`` for rows too wide to be aggregated as a struct."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))
-    return log.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

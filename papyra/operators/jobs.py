@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,27 @@ def progress(phase: Column, done: Column, total: Column) -> Column:
 
 
 def throttle(events: Column, step: float = STEP) -> Column:
-    """Of structs (seq, stage, progress) in order, those worth telling: a new stage, or ``step`` beyond the last told."""
-    kind = "array<struct<seq:bigint,stage:string,progress:double>>"
-    seed = F.struct(F.array().cast(kind).alias("out"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("double").alias("at"))
-
-    def add(s: Column, e: Column) -> Column:
-        tell = s["at"].isNull() | ~s["stage"].eqNullSafe(e["stage"]) | (F.abs(e["progress"] - s["at"]) >= step)
-        one = F.array(F.struct(e["seq"].cast("long").alias("seq"), e["stage"].alias("stage"), e["progress"].cast("double").alias("progress")))
-        return F.struct(F.when(tell, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"), F.when(tell, e["stage"]).otherwise(s["stage"]).alias("stage"), F.when(tell, e["progress"]).otherwise(s["at"]).alias("at"))
-
-    return F.aggregate(events, seed, add, lambda s: s["out"])
+    """Of structs (seq, stage, progress) in order, those worth telling: a new stage, or ``step`` beyond the last told.
+
+    Stages and progress go to Python in Arrow batches, and the places told come back.
+    """
+
+    @F.pandas_udf("array<int>")
+    def told(stages: pd.Series, progress: pd.Series) -> pd.Series:
+        def one(stages: np.ndarray, progress: np.ndarray) -> list[int]:
+            out, stage, at = [], None, None
+            for i, (s, p) in enumerate(zip(stages, progress, strict=True)):
+                p = None if p is None or p != p else float(p)
+                if at is None or s != stage or (p is not None and abs(p - at) >= step):
+                    out.append(i)
+                    stage, at = s, p
+            return out
+
+        return pd.Series([one(s, p) for s, p in zip(stages, progress, strict=True)])
+
+    places = told(F.transform(events, lambda e: e["stage"]), F.transform(events, lambda e: e["progress"].cast("double")))
+    pick = lambda i: F.get(events, i)
+    return F.transform(places, lambda i: F.struct(pick(i)["seq"].cast("long").alias("seq"), pick(i)["stage"].alias("stage"), pick(i)["progress"].cast("double").alias("progress")))
 
 
 def throttled(log: DataFrame, job: str = "job") -> DataFrame:

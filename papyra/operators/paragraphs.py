@@ -6,6 +6,8 @@ or shuffled unless the caller wants rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,13 @@ def widen_key(paras: Column, i: Column, least: int = MIN_KEY_CHARS) -> Column:
 
 
 def first_places(paras: Column) -> Column:
-    """Structs (i, text) of each distinct paragraph's first occurrence, in order."""
-    return F.transform(F.array_distinct(paras), lambda p: F.struct((F.array_position(paras, p) - 1).cast("int").alias("i"), p.alias("text")))
+    """Structs (i, text) of each distinct paragraph's first occurrence, in order; by sorting, not by looking each one up."""
+
+    def of(line: Column) -> Column:
+        first = F.filter(line, lambda x, k: (k == 0) | (F.get(line, k - 1)["text"] != x["text"]))
+        return F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"))))
+
+    return let(F.array_sort(F.transform(paras, lambda p, i: F.struct(p.alias("text"), i.cast("int").alias("i")))), of)
 
 
 def keys(paras: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,16 +65,27 @@ def cacheable(text: Column, mapped: Column) -> Column:
 
 
 def greedy_chunks(items: Column, limit: int = CHUNK_CHARS, size=F.length) -> Column:
-    """Chunk number of each item: consecutive items of ``limit`` together at most, none split, an oversize one alone."""
-    seed = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"))
+    """Chunk number of each item: consecutive items of ``limit`` together at most, none split, an oversize one alone.
 
-    def add(s: Column, item: Column) -> Column:
-        n = size(item).cast("long")
-        new = (F.size(s["out"]) > 0) & (s["used"] + n > limit)
-        chunk = F.when(new, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(F.concat(s["out"], F.array(chunk)).alias("out"), F.when(new, n).otherwise(s["used"] + n).alias("used"), chunk.alias("chunk"))
+    Only the sizes go to Python, in Arrow batches: an array that grows item by item in the JVM is copied for each.
+    """
 
-    return F.aggregate(items, seed, add, lambda s: s["out"])
+    @F.pandas_udf("array<int>")
+    def number(sizes: pd.Series) -> pd.Series:
+        def one(sizes: np.ndarray | None) -> list[int] | None:
+            if sizes is None:
+                return None
+            out, used, chunk = [], 0, 0
+            for n in sizes.tolist():
+                if out and used + n > limit:
+                    used, chunk = 0, chunk + 1
+                used += n
+                out.append(chunk)
+            return out
+
+        return sizes.map(one)
+
+    return number(F.transform(items, lambda x: F.coalesce(size(x), F.lit(0)).cast("long")))
 
 
 def chunk_totals(items: Column, limit: int = CHUNK_CHARS) -> Column:

@@ -20,25 +20,37 @@ def in_force(calls: DataFrame, regimes: DataFrame, when: str = "ts", start: str
     """Calls with the regime in force: the last that began by then, else the first.
 
     A price table has few rows; it is counted, and broadcast only up to ``most``. A longer one is
-    joined as-of, by a sort (``asof_last``).
+    met by spans of time (``in_force_by_span``).
     """
-    if regimes.limit(most + 1).count() > most:
-        return asof_last(calls, regimes, when, start)
+    n = regimes.count()
+    if n > most:
+        return in_force_by_span(calls, regimes, when, start, spans=-(-n // 1000))
     held = F.broadcast(intervals(regimes, start))
-    return calls.join(held, (F.col("holds_from").isNull() | (F.col(when) >= F.col("holds_from"))) & (F.col("holds_to").isNull() | (F.col(when) < F.col("holds_to"))), "left").drop("holds_from", "holds_to")
-
-
-def asof_last(left: DataFrame, right: DataFrame, when: str, start: str, by: list[str] | None = None, buckets: Column | None = None) -> DataFrame:
-    """As-of join for a right side of any size: both sides in one sorted window, the last right row carried on."""
-    by = by or []
-    payload = [c for c in right.columns if c not in by]
-    a = left.select(*by, F.col(when).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*payload)).schema[0].dataType).alias("_r"))
-    b = right.select(*by, F.col(start).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.struct(*payload).alias("_r"))
-    line = W.partitionBy(*by).orderBy("_t", "_side")
-    both = a.unionByName(b)
-    last = F.last("_r", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("_r", ignorenulls=True).over(line.rowsBetween(0, W.unboundedFollowing))
-    return both.withColumn("_r", F.coalesce(last, ahead)).where("_side = 1").select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in payload])
+    return calls.join(held, _holds(when), "left").drop("holds_from", "holds_to")
+
+
+def _holds(when: str) -> Column:
+    return (F.col("holds_from").isNull() | (F.col(when) >= F.col("holds_from"))) & (F.col("holds_to").isNull() | (F.col(when) < F.col("holds_to")))
+
+
+def in_force_by_span(calls: DataFrame, regimes: DataFrame, when: str, start: str, spans: int) -> DataFrame:
+    """The same for any number of regimes: time is cut into spans, an interval stands in each that it touches, a call in its own.
+
+    No window goes over more than a span's regimes or the spans themselves, and calls are joined by span.
+    """
+    ends = regimes.agg(F.min(start).alias("low"), F.max(start).alias("high")).first()
+    low, high = F.lit(ends["low"]), F.lit(ends["high"])
+    share = lambda t: (F.unix_micros(t) - F.unix_micros(low)) / F.greatest(F.unix_micros(high) - F.unix_micros(low), F.lit(1))
+    span = lambda t: F.least(F.greatest(F.floor(share(t) * spans), F.lit(0)), F.lit(spans - 1)).cast("int")
+    line = W.partitionBy("_span").orderBy(start)
+    placed = regimes.withColumn("_span", span(F.col(start))).withColumns({"_n": F.row_number().over(line), "_next": F.lead(start).over(line)})
+    first = placed.groupBy("_span").agg(F.min(start).alias("_first")).withColumn("_after", F.lead("_first").over(W.orderBy("_span"))).drop("_first")
+    held = placed.join(F.broadcast(first), "_span")  # ``spans`` rows at most
+    held = held.withColumns({"holds_to": F.coalesce("_next", "_after"), "holds_from": F.when((F.col("_span") > 0) | (F.col("_n") > 1), F.col(start))})
+    until = F.when(F.col("holds_to").isNull(), spans - 1).otherwise(span(F.col("holds_to")))
+    held = held.withColumn("_span", F.explode(F.sequence(F.when(F.col("holds_from").isNull(), 0).otherwise(F.col("_span")), until))).drop("_n", "_next", "_after")
+    own = calls.withColumn("_call_span", span(F.col(when)))
+    return own.join(held, (F.col("_call_span") == F.col("_span")) & _holds(when), "left").drop("_call_span", "_span", "holds_from", "holds_to")
 
 
 def is_peak(when: Column, peak_hours: Column) -> Column:

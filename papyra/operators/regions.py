@@ -19,7 +19,6 @@ MONOSPACED = ["txtt", "cmtt", "Courier", "Mono", "Consol", "Inconsolata", "Menlo
 LEAST_CONFIDENCE, LINE_GAP, LINE_COVER, MARGIN, COVERED, OPAQUE, GHOST = 0.25, 8.0, 0.5, 2.0, 0.9, 0.9, 0.4
 BLACK, MARK_WIDTH = 0.25, 2.0
 PAGE = ["doc", "page"]
-ON = {"a": F.struct, "b": F.struct}
 
 
 def confident(boxes: DataFrame) -> DataFrame:
@@ -36,15 +35,15 @@ def label(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """
     span = lambda low, high, size: (G.clamp(F.col(low).cast("int") - 1, F.lit(0), F.col(size) - 1), G.clamp(F.col(high).cast("int") + 1, F.lit(0), F.col(size) - 1))
     (x0, x1), (y0, y1) = span("x0", "x1", "width"), span("y0", "y1", "height")
-    b = boxes.select(*PAGE, "width", "height", "rank", F.col("cls").isin(PRESERVED).alias("kept"), x0.alias("bx0"), y0.alias("by0"), x1.alias("bx1"), y1.alias("by1"))
-    p = points.withColumn("_id", F.struct(*points.columns))
-    joined = p.join(b, PAGE, "left")
-    px, py = G.clamp(F.col("x").cast("int"), F.lit(0), F.col("width") - 1), G.clamp(F.col("y").cast("int"), F.lit(0), F.col("height") - 1)
-    inside = (F.col("bx0") <= px) & (px < F.col("bx1")) & (F.col("by0") <= py) & (py < F.col("by1"))
-    best = F.max(F.when(inside, F.struct("kept", "rank")))
-    named = joined.groupBy("_id").agg(best.alias("b"))
-    region = F.when(F.col("b").isNull(), 1).when(F.col("b.kept"), 0).otherwise(F.col("b.rank") + 2)
-    return named.select("_id.*", region.cast("int").alias("region"))
+    box = F.struct(F.col("cls").isin(PRESERVED).alias("kept"), "rank", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    # a page has few boxes: they come to its points as one array, so points are never grouped and equal ones stay apart
+    pages = boxes.groupBy(*PAGE).agg(F.max("width").alias("_w"), F.max("height").alias("_h"), F.collect_list(box).alias("_boxes"))
+    px, py = G.clamp(F.col("x").cast("int"), F.lit(0), F.col("_w") - 1), G.clamp(F.col("y").cast("int"), F.lit(0), F.col("_h") - 1)
+    inside = F.filter("_boxes", lambda b: (b["x0"] <= px) & (px < b["x1"]) & (b["y0"] <= py) & (py < b["y1"]))
+    best = F.array_max(F.transform(inside, lambda b: F.struct(b["kept"].alias("kept"), b["rank"].alias("rank"))))
+    joined = points.join(pages, PAGE, "left").withColumn("_best", best)
+    region = F.when(F.col("_best").isNull(), 1).when(F.col("_best.kept"), 0).otherwise(F.col("_best.rank") + 2)
+    return joined.select(*[points[c] for c in points.columns], region.cast("int").alias("region"))
 
 
 def clusters(lines: DataFrame, gap: float = LINE_GAP) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,29 +45,62 @@ def vocabulary(paras: DataFrame, *, pairs: bool = False, top: int | None = None,
     return best.where(F.col("n") >= LEAST).select(key, "term", "n", "rank")
 
 
-def match_terms(texts: DataFrame, forms: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = MAX_INJECTED, most_forms: int = 10_000) -> DataFrame:
+def match_terms(texts: DataFrame, forms: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = MAX_INJECTED, block: int = 50_000) -> DataFrame:
     """key, term, rank: the terms whose forms a text holds, longest first, ``limit`` at most.
 
-    A form is found as a part of the text; its case matters only for acronyms. ``forms`` (form, term)
-    is the glossary of a job, counted before it is broadcast; beyond ``most_forms`` each form meets
-    only the texts that hold its first three letters, by an equi-join.
+    A form is found as a part of the text; its case matters only for acronyms; an empty one is none.
+    ``forms`` (form, term) is the glossary of a job. Its forms make automata of about ``block`` each,
+    and a text is read once by each, whatever the number of forms.
     """
+    small = forms.select(flat(F.col("form")).alias("form"), "term").where((F.col("form") != "") & F.col("term").isNotNull()).distinct()
+    small = small.select("term", F.when(F.length("form") >= CASEFOLD_FROM, F.lower("form")).otherwise(F.col("form")).alias("form"), (F.length("form") >= CASEFOLD_FROM).alias("any_case"))
+    blocks = max(1, -(-small.count() // block))
     level = flat(F.col(text))
     shown = texts.select(key, level.alias("exact"), F.lower(level).alias("low"))
-    small = forms.select(flat(F.col("form")).alias("form"), "term").distinct()
-    small = small.select("term", F.when(F.length("form") >= CASEFOLD_FROM, F.lower("form")).alias("any_case"), F.when(F.length("form") < CASEFOLD_FROM, F.col("form")).alias("own_case"))
-    holds = F.coalesce(F.contains("low", "any_case"), F.contains("exact", "own_case"))
-    if small.limit(most_forms + 1).count() <= most_forms:
-        hit = shown.join(F.broadcast(small), holds)
-    else:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring(F.col("low"), i, 3)))
-        led = small.withColumn("g", F.substring(F.coalesce("any_case", F.lower("own_case")), 1, 3))
-        hit = shown.withColumn("g", F.explode(grams)).join(led, "g").where(holds)
-    found = hit.select(key, "term").distinct()
+    schema, found = f"{key} {texts.schema[key].dataType.simpleString()}, term string", None
+    for n in range(blocks):
+        own = [tuple(r) for r in small.where(F.pmod(F.xxhash64("form", "term"), F.lit(blocks)) == n).collect()]  # about ``block`` rows
+        hit = shown.mapInArrow(_finder(own, schema), schema)
+        found = hit if found is None else found.unionByName(hit)
+    if blocks > 1:
+        found = found.distinct()  # a term's forms may be in several blocks
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.length("term")), "term"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def _finder(forms: list[tuple[str, str, bool]], schema: str):
+    """mapInArrow over (key, exact, low): a row for each term that a row's texts hold a form of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        terms = sorted({t for t, _, _ in forms})
+        number, automata = {t: i for i, t in enumerate(terms)}, []
+        for any_case in (False, True):
+            by: dict[str, list[int]] = {}
+            for term, form, folded in forms:
+                if folded == any_case:
+                    by.setdefault(form, []).append(number[term])
+            automaton = ahocorasick.Automaton()
+            for form, own in by.items():
+                automaton.add_word(form, tuple(own))
+            if by:
+                automaton.make_automaton()
+                automata.append((1 + any_case, automaton))
+        for batch in batches:
+            rows, hits = [], []
+            for column, automaton in automata:
+                for i, text in enumerate(batch.column(column).to_pylist()):
+                    if text:
+                        new = {n for _, own in automaton.iter(text) for n in own}
+                        rows += [i] * len(new)
+                        hits += sorted(new)
+            one = np.unique(np.array([rows, hits], np.int64).reshape(2, -1), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(one[0])), pa.array([terms[n] for n in one[1]], pa.string())], names=[c.split()[0] for c in schema.split(", ")])
+
+    return run
+
+
 def grounded(terms: DataFrame, excerpts: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Proposed (key, term, forms) whose name or any form the key's excerpt shows, case and hyphens aside."""
     joined = terms.join(excerpts.select(key, F.lower(flat(F.col("excerpt"))).alias("shown")), key)

@@ -58,6 +58,10 @@ def test_label_equals_painting(spark):
     got = {r["i"]: r["region"] for r in regions.label(p, regions.confident(b)).collect()}
     assert got == {i: raster[clip(y, 40)][clip(x, 60)] for i, x, y in points}
     assert {0, 1} < set(got.values())
+    twice = p.select("doc", "page", "x", "y").unionByName(p.select("doc", "page", "x", "y"))
+    assert regions.label(twice, regions.confident(b)).count() == 600  # equal points stay apart
+    alone = p.withColumn("page", F.lit(9))
+    assert {r["region"] for r in regions.label(alone, regions.confident(b)).collect()} == {1}
 
 
 def test_clusters_and_prose(spark):
@@ -92,6 +96,16 @@ def test_ghosts(spark):
     assert [r["text"] for r in regions.redrawn(rest, gone).collect()] == ["P"]
 
 
+def test_monospaced_and_rotation(spark):
+    lines = spark.createDataFrame([(["A+Courier", "CMTT"],), (["ABC+cmtt10", "Menlo-Bold"],), (["Times"],), ([],)], "fonts array<string>")
+    assert [r["m"] for r in lines.select(regions.is_monospaced(F.col("fonts")).alias("m")).collect()] == [False, True, False, False]
+    box = [F.lit(v) for v in (10.0, 20.0, 110.0, 220.0)]
+    corner = {90: (110.0, 20.0), 180: (110.0, 220.0), 270: (10.0, 220.0), 0: (10.0, 20.0)}
+    for degrees, (x, y) in corner.items():  # the corner that comes to the origin
+        at = spark.range(1).select(G.transform_point(G.rotation(F.lit(degrees), *box), F.lit(x), F.lit(y)).alias("p")).first()["p"]
+        assert tuple(at) == (0, 0)
+
+
 def test_marks(spark):
     rows = [("Square", [3.0], 1.0, [0.0, 0.0, 0.0]), ("Square", [], 1.0, [0.0]), ("Circle", [3.0], 1.0, [0.0]), ("Square", [3.0], 1.0, [1.0, 0.0, 0.0]), ("Square", [3.0], 5.0, [0.0]), ("Square", [3.0], None, None)]
     a = spark.createDataFrame(rows, "type string, dashes array<double>, width double, stroke array<double>")

@@ -35,6 +35,20 @@ def test_prices(spark, prices):
     assert (use["k"]["cost"], use["k"]["priced"], use["k"]["tokens_out"]) == (0.5, False, 5)
 
 
+@pytest.mark.parametrize("spans", [1, 3, 50])
+def test_prices_by_span(spark, spans):
+    """Regimes met by spans of time are those met by intervals, before the first and at the very starts too."""
+    rng = random.Random(4)
+    starts = sorted(rng.sample(range(0, 100_000), 40))
+    at = lambda v: F.timestamp_seconds(v)
+    regimes = spark.createDataFrame([(i, s) for i, s in enumerate(starts)], "regime int, s long").select("regime", at("s").alias("effective_from"))
+    times = [-500, *starts[:9], *(rng.randrange(-10, 120_000) for _ in range(300))]
+    calls = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "call int, t long").select("call", "t", at("t").alias("ts"))
+    got = {r["call"]: r["regime"] for r in pricing.in_force_by_span(calls, regimes, "ts", "effective_from", spans).collect()}
+    assert got == {i: max([k for k, s in enumerate(starts) if s <= t], default=0) for i, t in enumerate(times)}
+    assert pricing.in_force(calls, regimes, most=5).count() == len(times)
+
+
 def test_jobs(spark):
     log = spark.createDataFrame([("a", 1, "queued"), ("a", 2, "running"), ("b", 1, "done"), ("c", 3, "queued")], "job string, seq int, status string")
     last = jobs.fold_log(log).withColumn("status", jobs.reap(F.col("status")))

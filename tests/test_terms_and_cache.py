@@ -1,5 +1,9 @@
 """Glossary, vocabulary, translation memory and reply checks."""
 
+import random
+
+import pytest
+
 from papyra.operators import cache, terms
 
 
@@ -42,10 +46,28 @@ def test_matching(spark):
     docs = spark.createDataFrame([(1, "An Unsound fixed-point, no tip."), (2, "The TIP language")], "doc_id int, text string")
     want = {(1, "fixed point", 1), (1, "Soundness", 2), (2, "TIP", 1)}
     assert {tuple(r) for r in terms.match_terms(docs, forms).collect()} == want
-    assert {tuple(r) for r in terms.match_terms(docs, forms, most_forms=1).collect()} == want
+    assert {tuple(r) for r in terms.match_terms(docs, forms, block=1).collect()} == want
     assert terms.match_terms(docs, forms, limit=1).count() == 2
 
 
+@pytest.mark.parametrize("block", [50_000, 7])
+def test_matching_by_brute_force(spark, block):
+    """Forms of every length, acronyms of one and two letters too, whatever the number of automata."""
+    rng = random.Random(3)
+    forms = [("AI", "Artificial"), ("x", "unknown"), ("", "nothing"), ("a-b", "pair"), ("Über", "over")]
+    forms += [("".join(rng.choice("abAB -") for _ in range(rng.randrange(1, 7))), f"t{rng.randrange(20)}") for _ in range(60)]
+    texts = [(i, "".join(rng.choice("abABx -IÜüber") for _ in range(rng.randrange(60)))) for i in range(80)] + [(90, "the AI says"), (91, None)]
+    flat = lambda t: " ".join(t.replace("-", " ").split())
+    want = set()
+    for i, t in texts:
+        for form, term in forms:
+            f, shown = flat(form), flat(t or "")
+            if f and (f.lower() in shown.lower() if len(f) >= 4 else f in shown):
+                want.add((i, term))
+    got = terms.match_terms(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(forms, "form string, term string"), limit=1000, block=block).collect()
+    assert {(r["doc_id"], r["term"]) for r in got} == want and len(got) == len(want) and (90, "Artificial") in want
+
+
 def test_grounding(spark):
     proposed = spark.createDataFrame([(1, "soundness", []), (1, "Context sensitivity", []), (1, "call string", ["call-strings"]), (1, "lattice", ["lattices"]), (1, "widening", None)], "doc_id int, term string, forms array<string>")
     excerpt = spark.createDataFrame([(1, "Soundness and context-sensitivity by call-strings.")], "doc_id int, excerpt string")

@@ -6,6 +6,9 @@ default classes are ASCII. Patterns below spell the classes out where the two di
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +61,27 @@ def without_thinking(reply: Column) -> Column:
     return F.regexp_replace(reply, r"(?s)\A<think>.+?</think>", "")
 
 
+def without_thinking_streamed(reply: Column) -> Column:
+    """The same for services whose replies are put together from a stream: what the deliberation ends with goes too, and the ends are stripped."""
+    return strip(F.regexp_replace(reply, r"(?s)\A<think>.+?\n*(</think>|\n)*(</think>)\n*", ""))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded, by Python's rules, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def decode(some: pd.Series) -> pd.Series:
+        return some.map(lambda t: None if t is None else html.unescape(t))
+
+    return decode(text)
+
+
+def found_translation(page: Column) -> Column:
+    """The translation that a service's web page shows, decoded and without control characters; null where it shows none."""
+    shown = F.regexp_extract_all(page, F.lit('(?s)class="(?:t0|result-container)">(.*?)<'), 1)
+    return without_controls(unescaped(F.get(shown, 0)))
+
+
 def flat(text: Column) -> Column:
     """Hyphens as spaces, white space single."""
     return strip(F.regexp_replace(F.replace(text, F.lit("-"), F.lit(" ")), rf"{SPACE}+", " "))
@@ -139,3 +163,17 @@ def facts(profile: dict[str, Column], keys: tuple[str, ...] = ("field", "topic")
     """The sentence of known facts that precedes every prompt; empty if there is none."""
     said = F.concat_ws("; ", *[F.when(F.length(profile[k]) > 0, F.concat(F.lit(f"{k.capitalize()}: "), profile[k])) for k in keys if k in profile])
     return F.when(said != "", F.concat(F.lit("This document — "), said)).otherwise(F.lit(""))
+
+
+def prompt_preface(profile: dict[str, Column], agreed: Column) -> Column:
+    """Facts, and the agreed terms (structs source, target) that a paragraph shows, before its instruction; empty without either."""
+    terms = F.array_join(F.transform(agreed, lambda t: F.concat(t["source"], F.lit(" -> "), t["target"])), "; ")
+    use = F.when(terms != "", F.concat(F.lit("Use these agreed translations where they apply: "), terms))
+    head = facts(profile)
+    both = F.concat_ws("\n", F.when(head != "", head), use)
+    return F.when(both != "", F.concat(both, F.lit("\n\n"))).otherwise(F.lit(""))
+
+
+def clipped(text: Column, most: int) -> Column:
+    """The first ``most`` characters."""
+    return F.substring(text, 1, most)

@@ -159,3 +159,9 @@ def page_numbers(spec: Column) -> Column:
 def select_pages(pages: DataFrame, wanted: list[int] | None, page: str = "page") -> DataFrame:
     """Only the wanted pages; none wanted means all."""
     return pages.where(F.col(page).isin(sorted(set(wanted)))) if wanted else pages
+
+
+def by_ordinal(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks of the pages that a document's list names, under each page's place in it: a model sees places, blocks know pages."""
+    places = wanted.select("doc", F.posexplode("pages").alias("ordinal", "page"))
+    return places.join(blocks, ["doc", "page"])

@@ -139,6 +139,13 @@ class Glossary:
                 if form and 0 < len(self.key(form)) <= MAX_SOURCE:
                     self.forms.setdefault(self.key(form), term)
 
+    def matching(self, text: str, limit: int = MAX_INJECTED) -> list[tuple[str, str]]:
+        """Agreed terms whose name or a form of it the text shows, with their renderings; longest names first."""
+        exact = " ".join(text.replace("-", " ").split())
+        low = exact.lower()
+        shown = {t for f, t in self.forms.items() if f in (low if len(f) >= CASEFOLD_FROM else exact)}
+        return [(t, self.terms[t]) for t in sorted(shown, key=lambda t: (-len(t), t))[:limit] if t in self.terms]
+
     def fixups(self) -> dict[str, str]:
         """Renderings that lost and what replaces them, unless one holds the other."""
         return {a: b for a, b in self.lost.items() if a and b and a not in b and b not in a}

@@ -15,6 +15,7 @@ from papyra.functions import geometry as G
 from papyra.functions import text as X
 from papyra.operators import cache, content, detect, jobs, pricing, regions, segment, terms, typeset
 from papyra.operators import paragraphs as P
+from papyra.plans import chunked
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,6 +237,27 @@ def glossary_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.fold_glossary(entries, "conv_id")
 
 
+@query(rf"""WITH RECURSIVE {PARAS},
+m AS (SELECT DISTINCT text FROM p WHERE doc_id % 4 = 0 AND length(text) >= 200),
+kept AS (SELECT doc_id, text, min(i) AS i FROM p WHERE NOT {TRIVIAL} GROUP BY doc_id, text),
+k AS (SELECT kept.*, m.text IS NOT NULL AS known FROM kept LEFT JOIN m ON m.text = kept.text),
+n AS (SELECT doc_id, i, text, CAST(length(text) AS BIGINT) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM k WHERE NOT known),
+f AS (SELECT doc_id, r, i, text, len AS used, 0 AS chunk FROM n WHERE r = 1
+  UNION ALL SELECT n.doc_id, n.r, n.i, n.text, CASE WHEN f.used + n.len > 1000 THEN n.len ELSE f.used + n.len END, CASE WHEN f.used + n.len > 1000 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN n ON n.doc_id = f.doc_id AND n.r = f.r + 1),
+c AS (SELECT doc_id, chunk, min(i) AS first, arg_min(string_split(text, ' ')[1], i) AS word FROM f GROUP BY doc_id, chunk),
+o AS (SELECT *, first % 7 = 2 AS lost, '<' || word || first % 2 || '>' AS target, {_KEY("trim(word)")} AS key FROM c),
+t AS (SELECT *, NOT lost AND trim(word) <> '' AND length(trim(word)) <= 80 AND key <> '' AS learned FROM o),
+a AS (SELECT doc_id, chunk, lost, CASE WHEN learned THEN first_value(target) OVER (PARTITION BY doc_id, key, learned ORDER BY chunk) ELSE target END AS target FROM t)
+SELECT f.doc_id, f.i, f.chunk, CASE WHEN lost THEN 'left' ELSE 'service' END AS source, CASE WHEN lost THEN '' ELSE md5(target || ' ' || f.text) END AS translation_md5 FROM f JOIN a ON a.doc_id = f.doc_id AND a.chunk = f.chunk
+UNION ALL SELECT doc_id, i, -1, 'memory', md5(lower(text)) FROM k WHERE known""")
+def chunk_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents translated chunk by chunk by a stand-in that answers wrongly at times and renders terms in two ways; the memory is a quarter of the carrier."""
+    docs = _paras(spark, sf_dir)
+    old = P.rows(docs).where((F.col("doc_id") % 4 == 0) & (F.length("text") >= P.MIN_KEY_CHARS)).select(F.col("text").alias("cache_key")).distinct()
+    run = chunked.translate_documents(docs, old.withColumn("translation", F.lower("cache_key")), chunked.ScriptedService)
+    return chunked.units(run).select("doc_id", "i", F.coalesce("chunk", F.lit(-1)).alias("chunk"), "source", F.coalesce(F.md5("translation"), F.lit("")).alias("translation_md5"))
+
+
 # ---- identity, memory, replies -----------------------------------------------------------------
 
 

@@ -77,3 +77,21 @@ def overlay(found: Column, known: Column) -> Column:
 def save_regions(regions: DataFrame, path: str) -> None:
     """Hand-marked rectangles (doc_key, page, x0, y0, x1, y1) by the identity of the document's text."""
     regions.write.mode("append").partitionBy("doc_key").parquet(path)
+
+
+def load_regions(spark: SparkSession, path: str, doc_keys: DataFrame | None = None) -> DataFrame:
+    """doc_key, page, x0, y0, x1, y1 as saved; with ``doc_keys`` (doc_key) of those documents only, by pruned folders."""
+    saved = spark.read.parquet(path)
+    return saved if doc_keys is None else saved.join(doc_keys.select("doc_key").distinct(), "doc_key", "left_semi")
+
+
+def with_profiles(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Jobs (job, doc_key and more) with the facts and terms known of their document, null where nothing is."""
+    return jobs.join(profiles.select("doc_key", "facts", "terms"), "doc_key", "left")
+
+
+def language_pack(packs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Wanted pairs (source, target) with the first pack (source, target, i and more) that translates between them; a pair without one stays out."""
+    rest = [c for c in packs.columns if c not in ("source", "target", "i")]
+    first = packs.groupBy("source", "target").agg(F.min(F.struct("i", *rest)).alias("p"))
+    return pairs.join(first, ["source", "target"]).select(*pairs.columns, "p.*")

@@ -728,3 +728,6 @@ def typeset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = typeset.translated(segment.read(_pages(spark, sf_dir)), with_text=F.upper)
     streams = typeset.drawn(typeset.typeset(pages, WIDTHS))
     return streams.select("doc", "page", F.md5("stream").alias("stream_md5"), F.length("stream").alias("chars"), F.regexp_count("stream", F.lit(" TJ ")).alias("runs"), F.regexp_count("stream", F.lit(" l S ")).alias("lines"))
+
+
+from papyra.plans import scalars  # noqa: E402,F401  it adds its queries to these

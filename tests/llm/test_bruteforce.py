@@ -395,6 +395,22 @@ def test_held_out_accuracy(spark):
     assert min(insult[:3]) > 0.5 > insult[3]
 
 
+def test_letters_put_in():
+    """A letter put into an insult anywhere is read over, clean words stay clean."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    insults = ["idiot", "moron", "scumbag", "worthless", "imbecile"]
+    clean = [" ".join(word() for _ in range(40)) for _ in range(300)]
+    toxic = [" ".join([*(word() for _ in range(20)), rng.choice(insults), *(word() for _ in range(20))]) for _ in range(150)]
+    machine = toxicity.train(clean + toxic, [0] * 300 + [1] * 150, 0.1)
+    assert machine.letters_out
+    put_in = [f"{word()} {w[:k]}{c}{w[k:]} {word()}" for w in insults for k in range(1, len(w)) for c in "xoe"]
+    with_out = toxicity.Machine(machine.table, machine.offset, machine.slope, machine.bias, letters_out=False)
+    assert (machine.scores(put_in) >= 0.5).mean() > max(0.9, (with_out.scores(put_in) >= 0.5).mean())
+    fresh = [" ".join(word() for _ in range(40)) for _ in range(300)]
+    assert (machine.scores(fresh) >= 0.5).mean() < 0.02
+
+
 @needs_data
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("corpus_pipeline")

@@ -33,7 +33,7 @@ SAID = {
 
 class Pages:
     def __init__(self, seed: int):
-        self.r = random.Random(seed)
+        self.r, self.bare = random.Random(seed), False
         syllables = [c + v + e for c in "bcdfghlmnprstvz" for v in "aeiou" for e in ("", "n", "r", "s", "t")] + ["the", "and", "er", "tion", "ing", "ch", "ê", "ñ", "ü", "é", "ß"]
         self.syllables = syllables
 
@@ -54,6 +54,8 @@ class Pages:
         return self.r.choice((1, 2, 3, 5, 8, 12, 20))
 
     def attrs(self, names: list[str], rate: float = 0.8) -> str:
+        if self.bare:  # names that say nothing, or none
+            return "" if self.r.random() < 0.5 else f' class="{self.word()}"'
         if self.r.random() > rate:
             return ""
         return f' {self.r.choice(("class", "class", "id"))}="{self.r.choice(names)}"'
@@ -76,7 +78,10 @@ class Pages:
         named = self.attrs(NOISE[kind], 1.0 if tag in ("div", "section", "ul", "ol") else 0.4)
         say = lambda n: " ".join(r.choice(SAID[kind].split()) if r.random() < 0.5 else self.word() for _ in range(n))
         out = [(f"<{tag}{named}>", -1)]
-        if kind in ("nav", "share") or kind in ("aside", "footer") and r.random() < 0.4:
+        if kind in ("nav", "share") and r.random() < (0.5 if self.bare else 0.1):
+            between = r.choice((" | ", " ", " - ", "<br>"))
+            out.append((between.join(f'<a href="/{self.word()}">{html.escape(say(r.randint(1, 3)))}</a>' for _ in range(r.randint(2, 7))), 0))
+        elif kind in ("nav", "share") or kind in ("aside", "footer") and r.random() < 0.4:
             out.append(("<ul>", -1))
             for _ in range(r.randint(2, 9)):
                 text = say(r.randint(1, 3)) if r.random() < 0.5 else self.word()
@@ -94,7 +99,7 @@ class Pages:
         else:
             for _ in range(r.randint(1, 3)):
                 mark = r.choice(("p", "", "span", "h3", "div"))
-                text = self.prose(self.short()) if r.random() < 0.55 else say(self.short())
+                text = self.prose(self.short()) if r.random() < (0.1 if self.bare else 0.55) else say(self.short())
                 if kind == "footer" and r.random() < 0.5:
                     text = "© " + text
                 text = self.inline(text, 0.2 if r.random() < 0.3 else 0.0)
@@ -103,8 +108,10 @@ class Pages:
 
     def main(self) -> list[tuple[str, int]]:
         r = self.r
-        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
+        tag = r.choice(("div", "div", "section", "td")) if self.bare else r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
         named = self.attrs(MAIN, 0.35 if tag in ("article", "main") else 1.0)
+        # paragraphs as such, or as divisions
+        start, end = ("<p>", "</p>") if r.random() < (0.6 if self.bare else 0.93) else (f"<div{self.attrs(MAIN, 0.3)}>", "</div>")
         out = [(f"<{tag}{named}>", -1)]
         if r.random() < 0.85:
             h = r.choice(("h1", "h1", "h2"))
@@ -113,9 +120,9 @@ class Pages:
         for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
             x = r.random()
             if x < 0.72:
-                text = self.inline(self.prose(r.choice((1, 2, 4, 10, 25, 50, 90, 150))), r.choice((0, 0, 0, 0.03)))
+                text = self.inline(self.prose(r.choice((10, 15, 25, 50, 90) if self.bare else (1, 2, 4, 10, 25, 50, 90, 150))), r.choice((0, 0, 0, 0.03)))
                 text = ("<b>" + text + ("<br>" if r.random() < 0.7 else "")) if sloppy and r.random() < 0.3 else text
-                out += [("<p>", -1), (text, 1), ("" if sloppy and r.random() < 0.4 else "</p>", -1)]
+                out += [(start, -1), (text, 1), ("" if sloppy and start == "<p>" and r.random() < 0.4 else end, -1)]
             elif x < 0.8:
                 h = r.choice(("h2", "h3"))
                 out += [(f"<{h}>", -1), (html.escape(self.prose(self.short())), 1), (f"</{h}>", -1)]
@@ -140,13 +147,25 @@ class Pages:
         """Pieces (markup or text, label): 1 article, 0 other text, -1 markup that holds no text."""
         r = self.r
         out = [("<!DOCTYPE html><html><head><meta charset=utf-8><title>", -1), (html.escape(self.prose(self.short())), 0), ("</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>", -1)]
-        wrap = r.random() < 0.3
+        wrap, self.bare = r.random() < 0.3, r.random() < 0.3
+        cells = self.bare and r.random() < 0.25
         out.append(("<div id=\"page\">" if wrap else "", -1))
         before = ["nav", "header", "ad", "notice", "form", "aside", "share"]
         after = ["footer", "aside", "comments", "ad", "notice", "form", "nav", "share"]
+
+        def around(block: list[tuple[str, int]]) -> list[tuple[str, int]]:
+            """In a table's row, in divisions that say nothing, or as it is."""
+            if cells:
+                return [("<table><tr><td>", -1), *block, ("</td></tr></table>", -1)]
+            deep = r.choice((0, 0, 1, 2, 3)) if self.bare else 0
+            return [*((f"<div{self.attrs(MAIN)}>", -1) for _ in range(deep)), *block, *(("</div>", -1) for _ in range(deep))]
+
         for kind in r.sample(before, r.randint(0, 4)):
-            out += self.noise(kind)
-        out += self.main()
+            out += around(self.noise(kind))
+        out += around(self.main())
         for kind in [*r.sample(after[1:], r.randint(0, 4)), *(["footer"] if r.random() < 0.7 else [])]:
-            out += self.noise(kind)
+            named, self.bare = self.bare, self.bare and kind != "comments"  # nothing else tells comments from prose
+            out += around(self.noise(kind))
+            self.bare = named
+        self.bare = False
         return [*out, ("</div>" if wrap else "", -1), ("</body></html>" if r.random() < 0.9 else "", -1)]

@@ -272,7 +272,7 @@ def drawn_page(pages: Pages) -> tuple[np.ndarray, np.ndarray]:
     return vectors([Leaf(f.text.replace("\ue000", "") or "x", f.element, f.linked) for f in found]), y
 
 
-def train(n_pages: int = 1600, rounds: int = 5, batch: int = 16, rate: float = 0.01, seed: int = 3) -> BlockLstm:
+def train(n_pages: int = 2400, rounds: int = 5, batch: int = 16, rate: float = 0.01, seed: int = 3) -> BlockLstm:
     """Labeller fitted by Adam on ``n_pages`` drawn pages; the same parameters on every run."""
     source, net, rng = Pages(seed), BlockLstm(seed=seed), np.random.default_rng(seed)
     data = [p for p in (drawn_page(source) for _ in range(n_pages)) if len(p[1])]

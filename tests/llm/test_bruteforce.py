@@ -355,7 +355,7 @@ def test_language_by_plain_recurrence():
 
 
 def test_html_on_drawn_pages():
-    net, pages, right, total = html_text.train(n_pages=500, rounds=4), Pages(77), 0, 0
+    net, pages, right, total = html_text.train(), Pages(77), 0, 0
     for _ in range(120):
         x, y = html_text.drawn_page(pages)
         if len(y):

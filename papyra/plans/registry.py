@@ -16,6 +16,7 @@ from papyra.functions import text as X
 from papyra.operators import cache, content, detect, jobs, pricing, regions, segment, terms, typeset
 from papyra.operators import paragraphs as P
 from papyra.plans import chunked
+from papyra.sources.files import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def _paras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.paragraphs(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return P.paragraphs(dealt(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 # ---- SQL that several queries share ----------------------------------------------------------
@@ -202,7 +203,7 @@ h AS (SELECT DISTINCT doc_id, term FROM d JOIN g ON form <> '' AND CASE WHEN len
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, term) AS INTEGER) AS rank FROM h)
 SELECT doc_id, term, rank FROM r WHERE rank <= 40""")
 def term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.match_terms(table(spark, sf_dir, "documents", "doc_id", "text"), _forms(spark, sf_dir))
+    return terms.match_terms(dealt(table(spark, sf_dir, "documents", "doc_id", "text")), _forms(spark, sf_dir))
 
 
 @query(rf"""WITH {PARAS}, o AS (SELECT DISTINCT doc_id + 1 AS doc_id, list_extract(string_split(text, ' '), 1) AS term, list_extract(string_split(text, ' '), 2) AS form FROM p),

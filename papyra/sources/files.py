@@ -16,6 +16,12 @@ PRICES = T.StructType([T.StructField("currency", T.StringType()), T.StructField(
 CACHE = "engine string, params string, original string, translation string, write_seq long"
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of fewer files than there are cores dealt anew, so that what follows has work for all; of more files as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
     """path, modificationTime, length, content of whole files; content is read only if a plan asks for it."""
     return spark.read.format("binaryFile").load(list(paths))

@@ -11,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.sources.files import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table by Spark's own reader, narrowed to ``columns`` where given."""
+    """A table by Spark's own reader, narrowed to ``columns`` where given; texts of a few files are dealt over all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return dealt(df) if name in ("documents", "pages") else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -78,3 +78,11 @@ def single_source(files: DataFrame, outputs: DataFrame, job: str = "job", path:
     """job, path where exactly one of a job's files is not an output of it."""
     rest = files.join(outputs.select(job, path).distinct(), [job, path], "left_anti")
     return rest.groupBy(job).agg(F.count("*").alias("n"), F.min(path).alias(path)).where("n = 1").drop("n")
+
+
+def streamed_replies(chunks: DataFrame, by: str = "call", order: str = "seq", delta: str = "delta", usage: str = "usage") -> DataFrame:
+    """by, text, usage: a reply put together from its pieces, null ones left out, and the usage that the last piece with one tells."""
+    pieces = F.array_sort(F.collect_list(F.when(F.col(delta).isNotNull(), F.struct(order, delta))))
+    last = F.max_by(F.col(usage), F.when(F.col(usage).isNotNull(), F.col(order)))
+    told = chunks.groupBy(by).agg(pieces.alias("p"), last.alias(usage))
+    return told.select(by, F.array_join(F.transform("p", lambda p: p[delta]), "").alias("text"), usage)

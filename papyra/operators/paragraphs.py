@@ -173,8 +173,13 @@ def stride_sample(paras: Column, budget: int = SAMPLE_CHARS) -> Column:
     return let(F.transform(usable, lambda p: F.least(F.length(p), F.lit(CLIP))), plan)
 
 
-def document_key(pages: DataFrame, key: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
-    """key and doc_key: 16 hex digits of the digest of all page texts in page order, nothing between them."""
+def document_key(pages: DataFrame, key: str = "doc_id", page: str = "page", text: str = "text", digits: int = 16) -> DataFrame:
+    """key and doc_key: hex digits of the digest of all page texts in page order, nothing between them."""
     ordered = F.array_sort(F.collect_list(F.struct(page, text)))
     joined = F.array_join(F.transform(ordered, lambda s: s[text]), "")
-    return pages.groupBy(key).agg(F.substring(F.sha2(joined, 256), 1, 16).alias("doc_key"))
+    return pages.groupBy(key).agg(F.substring(F.sha2(joined, 256), 1, digits).alias("doc_key"))
+
+
+def profile_key(excerpt: Column, digits: int = 32) -> Column:
+    """Under what a document's profile is kept: hex digits of the digest of the excerpt that it was drawn from."""
+    return F.substring(F.sha2(excerpt, 256), 1, digits)

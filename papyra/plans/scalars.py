@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from papyra.functions import geometry as G
 from papyra.functions import text as X
-from papyra.operators import cache, regions, typeset
+from papyra.operators import cache, jobs, regions, typeset
 from papyra.operators import paragraphs as P
 from papyra.plans.registry import FILL, PAGES, PARAS, _fill, _page, _paras, query, table
-from papyra.sources import files
+from papyra.sources import adapters, files
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, chr(7) || coalesce(text, '') || chr(8203) AS c, '<think>' || substr(text, 1, 30) || chr(10) || '</think>' || text AS r FROM documents)
@@ -157,12 +157,12 @@ def redrawn_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey AS job, coalesce(c_mktsegment, '') AS field, CASE WHEN c_custkey IS NULL THEN 'found' ELSE 'known' END AS title, 'found' AS topic FROM j LEFT JOIN k ON c_custkey = o_custkey""")
 def job_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs with what is known of their document; what this run finds fills in the rest."""
-    jobs = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("job"), F.col("o_custkey").alias("doc_key"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("job"), F.col("o_custkey").alias("doc_key"))
     known = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").where("c_custkey % 3 <> 0")
     profiles = known.select(F.col("c_custkey").alias("doc_key"), F.create_map(F.lit("field"), F.col("c_mktsegment"), F.lit("title"), F.lit("known")).alias("facts"), F.lit(None).cast("map<string,string>").alias("terms"))
     found = F.create_map(F.lit("title"), F.lit("found"), F.lit("topic"), F.lit("found"))
     facts = files.overlay(found, F.coalesce("facts", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-    both = files.with_profiles(jobs, profiles).withColumn("facts", facts)
+    both = files.with_profiles(orders, profiles).withColumn("facts", facts)
     return both.select("job", F.coalesce(F.try_element_at("facts", F.lit("field")), F.lit("")).alias("field"), F.col("facts")["title"].alias("title"), F.col("facts")["topic"].alias("topic"))
 
 
@@ -192,3 +192,28 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     said = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     return e.select("event_id", F.unix_seconds(F.to_timestamp(said)).alias("seconds"))
+
+
+@query(rf"""WITH {PARAS} SELECT d.doc_id, substr(sha256(coalesce(string_agg(p.text, chr(10) ORDER BY p.i), '')), 1, 32) AS profile_key FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id""")
+def profile_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paras(spark, sf_dir).select("doc_id", P.profile_key(F.array_join("paras", "\n")).alias("profile_key"))
+
+
+@query("""SELECT conv_id AS call, md5(coalesce(string_agg(CASE WHEN turn % 3 <> 2 THEN text END, '' ORDER BY turn), '')) AS text_md5, coalesce(arg_max(turn * 10, turn) FILTER (WHERE turn % 2 = 1), 0) AS usage FROM conversations GROUP BY conv_id""")
+def replies_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as streams of a reply's pieces: every third is empty, every second tells the usage so far."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    chunks = c.select(F.col("conv_id").alias("call"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 != 2, F.col("text")).alias("delta"), F.when(F.col("turn") % 2 == 1, F.col("turn") * 10).alias("usage"))
+    return jobs.streamed_replies(chunks).select("call", F.md5("text").alias("text_md5"), F.coalesce("usage", F.lit(0)).alias("usage"))
+
+
+_CODES = ", ".join(f"('{s.name}', '{k}', '{v}')" for s in adapters.SERVICES.values() for k, v in s.codes.items())
+_NAMES = ", ".join(f"('{n}')" for n in adapters.SERVICES)
+
+
+@query(f"WITH c(service, language, code) AS (VALUES {_CODES}), s(service) AS (VALUES {_NAMES}), l(language) AS (VALUES ('zh'), ('en'), ('fr')) SELECT s.service, l.language, coalesce(c.code, l.language) AS code FROM s CROSS JOIN l LEFT JOIN c ON c.service = s.service AND c.language = l.language")
+def engine_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages in the writing of each service."""
+    some = spark.createDataFrame([(n,) for n in adapters.SERVICES], "service string")
+    each = some.withColumn("language", F.explode(F.array(*map(F.lit, ("zh", "en", "fr")))))
+    return each.withColumn("code", adapters.engine_code(F.col("service"), F.col("language")))

@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 GLYPHS = "doc string, page int, container int, seq long, kind string, text string, x0 double, y0 double, x1 double, y1 double, size double, font string, m0 double, m3 double, page_width double, page_height double"
 BOXES = "doc string, page int, i int, x0 double, y0 double, x1 double, y1 double, conf double, cls string, width int, height int"
@@ -61,6 +62,12 @@ SERVICES = {
 }
 
 
+def engine_code(service: Column, language: Column) -> Column:
+    """A language's code in a service's own writing; most write it as it is."""
+    pairs = [F.lit(x) for s in SERVICES.values() for k, v in s.codes.items() for x in (f"{s.name}:{k}", v)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat(service, F.lit(":"), language)), language)
+
+
 class Registry:
     """Named kernels; safe to fill from several threads."""
 

@@ -29,6 +29,17 @@ PAGES = f"doc string, page int, page_width double, page_height double, items {IT
 NAMES = [c.split()[0] for c in re.split(r", (?=\w+ )", PAGES)]
 
 
+class PdfReader:
+    """The ``DocumentReader`` of PDF files: glyphs and lines, a tuple each, of the wanted pages."""
+
+    def glyphs(self, doc: str, content: bytes, pages: list[int] | None) -> Iterator[tuple]:
+        for i, (_, page) in enumerate(pdf.pages if (pdf := _opened(content)) else []):
+            if pages is None or i in pages:
+                r = Reader(pdf, page)
+                for seq, g in enumerate(r.items):
+                    yield doc, i, g["container"], seq, g["kind"], g["text"], g["x0"], g["y0"], g["x1"], g["y1"], g["size"], g["font"], g["m0"], g["m3"], r.width, r.height
+
+
 def _opened(content) -> Pdf | None:
     try:
         return Pdf(bytes(content))

@@ -120,6 +120,17 @@ def test_pages_on_spark(spark, files):
     assert "0.500000 w" in rest[0] and " n " in rest[0] and "Hello" not in rest[0] and "Tj" not in rest[0]
 
 
+def test_reader_by_its_protocol(spark, files):
+    from papyra.plans.translate import paragraphs_of
+    from papyra.sources import adapters
+
+    glyphs = adapters.read_glyphs(files.where("path = 'a/x.pdf'"), D.PdfReader)
+    boxes = adapters.detect_regions(glyphs.select("doc", "page").distinct(), adapters.WholePageModel)
+    said = {(r["page"], r["container"], r["text"]) for r in paragraphs_of(glyphs, boxes).collect()}
+    assert (1, 0, "two") in said and (0, 1, "in") in said
+    assert adapters.read_glyphs(files.where("path = 'a/x.pdf'"), D.PdfReader, [1]).count() == 3
+
+
 def test_from_file_to_file(spark, files, tmp_path):
     """Read, segment, translate, set, write, and read what was written."""
     pages = D.read_pages(files)

@@ -335,11 +335,11 @@ def peak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {PRICED}, t AS (SELECT *, tokens // 3 AS hit, tokens // 5 AS miss FROM c)
 SELECT user_id AS job, CAST(sum(hit) AS BIGINT) AS tokens_hit, CAST(sum(miss) AS BIGINT) AS tokens_miss, CAST(sum(tokens) AS BIGINT) AS tokens_out, count(*) AS calls, bool_and(rate IS NOT NULL) AS priced,
-round(coalesce(sum((hit * rate / 10 + miss * rate / 2 + tokens * rate) / 1000000), 0.0), 7) AS cost FROM t GROUP BY user_id""")
+round(coalesce(sum((hit * rate / 10 + miss * rate / 2 + tokens * rate) / 1000000), 0.0), 9) AS cost FROM t GROUP BY user_id""")
 def job_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit, miss = F.floor(F.col("tokens") / 3), F.floor(F.col("tokens") / 5)
     c = _priced(spark, sf_dir).select(F.col("user_id").alias("job"), hit.alias("tokens_hit"), miss.alias("tokens_miss"), F.col("tokens").alias("tokens_out"), pricing.cost(F.col("rate"), hit, miss, F.col("tokens")).alias("cost"))
-    return pricing.usage(c).select("job", "tokens_hit", "tokens_miss", "tokens_out", "calls", "priced", F.round("cost", 7).alias("cost"))
+    return pricing.usage(c).select("job", "tokens_hit", "tokens_miss", "tokens_out", "calls", "priced", F.round("cost", 9).alias("cost"))
 
 
 @query("SELECT o_orderkey AS job, CAST(o_orderdate AS TIMESTAMP) AS created FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")

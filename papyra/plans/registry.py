@@ -731,4 +731,35 @@ def typeset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.select("doc", "page", F.md5("stream").alias("stream_md5"), F.length("stream").alias("chars"), F.regexp_count("stream", F.lit(" TJ ")).alias("runs"), F.regexp_count("stream", F.lit(" l S ")).alias("lines"))
 
 
+
+_HEIGHTS = ["1.2::DOUBLE" + " - 0.05::DOUBLE" * k for k in range(5)]
+_HEIGHT = "CASE " + " ".join(f"WHEN NOT n * 10.0::DOUBLE * ({h}) > high THEN {h}" for h in _HEIGHTS) + f" ELSE {_HEIGHTS[4]} END"
+
+
+@query(rf"""WITH {PARAS},
+t AS (SELECT doc_id, i, i % 3 = 0 AS f, CASE WHEN i % 3 = 0 THEN '##' ELSE '' END || regexp_replace(text, '[^!-z]', '_', 'g') AS cells, 10.0::DOUBLE * (1 + length(text) % 7) AS high FROM p),
+n AS (SELECT *, CAST(ceil(length(cells) / 40.0) AS INTEGER) AS n FROM t),
+h AS (SELECT *, {_HEIGHT} AS height FROM n),
+l AS (SELECT *, unnest(range(n)) AS line FROM h),
+o AS (SELECT doc_id, i, CAST(line AS INTEGER) AS line, 'text' AS kind, 'tiro' AS font, CASE WHEN f AND line = 0 THEN substr(cells, 3, 38) ELSE substr(cells, line * 40 + 1, 40) END AS text,
+  CASE WHEN f AND line = 0 THEN 84.0 ELSE 72.0 END AS x, 700.0 - i - line * 10 * height AS y, CASE WHEN f AND line = 0 THEN '0 g ' ELSE '' END AS color FROM l
+  UNION ALL SELECT doc_id, i, 0, 'text', 'CM', 'x', 72.0, 700.0 - i, '1.000000 0.000000 0.000000 rg ' FROM h WHERE f
+  UNION ALL SELECT doc_id, i, 0, 'line', '', '', 73.0, 698.0 - i, '' FROM h WHERE f)
+SELECT CAST(doc_id AS VARCHAR) AS doc, i AS para, line, kind, font, md5(text) AS text_md5, CAST(x AS DOUBLE) AS x, round(CAST(y AS DOUBLE), 4) AS y, color FROM o""")
+def typeset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs set in columns forty cells wide, every third behind a red formula two cells wide with a line under it."""
+    pair = "struct<text:string,font:string,size:double,x:double,y:double,color:array<double>>"
+    formula = F.struct(F.lit(0).alias("container"), F.lit(0).alias("formula"), F.lit("x").alias("text"), F.lit(12.0).alias("width"), F.lit(2.0).alias("shift"), F.lit(0.0).alias("modifier"), F.array(F.struct(F.lit("x").alias("text"), F.lit("CM").alias("font"), F.lit(9.0).alias("size"), F.lit(300.0).alias("x"), F.lit(50.0).alias("y"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("color")).cast(pair)).alias("glyphs"), F.array(F.struct(F.lit(301.0).alias("x"), F.lit(48.0).alias("y"), F.lit(5.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("width"))).alias("lines"))
+
+    def para(p: Column, i: Column) -> Column:
+        said = F.concat(F.when(i % 3 == 0, "{v0}").otherwise(""), F.regexp_replace(p, "[^!-z]", "_"))
+        return F.struct(F.lit(0).alias("container"), i.alias("para"), p.alias("text"), F.lit(72.0).alias("x"), (700.0 - i).alias("y"), F.lit(72.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(312.0).alias("x1"), (10.0 * (1 + F.length(p) % 7)).alias("y1"), F.lit(10.0).alias("size"), F.lit(True).alias("brk"), said.alias("translation"))
+
+    rules = F.array().cast("array<struct<container:int,x:double,y:double,dx:double,dy:double,width:double>>")
+    pages = _paras(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc"), F.lit(0).alias("page"), F.transform("paras", para).alias("paras"), F.array(formula).alias("formulas"), rules.alias("rules"))
+    ops = typeset.typeset(pages, WIDTHS).select("doc", F.explode("ops").alias("o"))
+    none = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(""))
+    return ops.select("doc", "o.para", F.coalesce("o.line", F.lit(0)).alias("line"), "o.kind", none("font").alias("font"), F.md5(none("text")).alias("text_md5"), "o.x", F.round("o.y", 4).alias("y"), none("color").alias("color"))
+
+
 from papyra.plans import scalars  # noqa: E402,F401  it adds its queries to these

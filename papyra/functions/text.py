@@ -18,6 +18,9 @@ PLACEHOLDER = r"\{v\p{Nd}+\}|</?b\p{Nd}+>"
 FORMULA_ONLY = r"^\{v\p{Nd}+\}\n?$"
 WORD = r"[A-Za-z][A-Za-z'’-]+"
 LINK_TOKEN = r"(?U)[0-9][\w.+\-]*|[A-Z][\w.+\-]+"
+#: Where a service's web page shows its answer; what agreed terms are told by (fixed values).
+ANSWER = r'(?s)class="(?:t0|result-container)">(.*?)<'
+AGREED = "Use these agreed translations where they apply: "
 LEADER = rf"(?:[.·]{SPACE}?){{4,}}"
 MIN_CHARS = 3
 #: Terms shorter than this are acronyms, whose case tells them apart from words.
@@ -78,7 +81,7 @@ def unescaped(text: Column) -> Column:
 
 def found_translation(page: Column) -> Column:
     """The translation that a service's web page shows, decoded and without control characters; null where it shows none."""
-    shown = F.regexp_extract_all(page, F.lit('(?s)class="(?:t0|result-container)">(.*?)<'), 1)
+    shown = F.regexp_extract_all(page, F.lit(ANSWER), 1)
     return without_controls(unescaped(F.get(shown, 0)))
 
 
@@ -168,7 +171,7 @@ def facts(profile: dict[str, Column], keys: tuple[str, ...] = ("field", "topic")
 def prompt_preface(profile: dict[str, Column], agreed: Column) -> Column:
     """Facts, and the agreed terms (structs source, target) that a paragraph shows, before its instruction; empty without either."""
     terms = F.array_join(F.transform(agreed, lambda t: F.concat(t["source"], F.lit(" -> "), t["target"])), "; ")
-    use = F.when(terms != "", F.concat(F.lit("Use these agreed translations where they apply: "), terms))
+    use = F.when(terms != "", F.concat(F.lit(AGREED), terms))
     head = facts(profile)
     both = F.concat_ws("\n", F.when(head != "", head), use)
     return F.when(both != "", F.concat(both, F.lit("\n\n"))).otherwise(F.lit(""))

@@ -26,6 +26,8 @@ from papyra.operators import paragraphs as P
 from papyra.operators.terms import Glossary
 
 TRIES = 2
+#: Facts that a document is described by, in their order, and what stands before them (fixed values).
+DESCRIBED, HEAD = ("title", "field", "topic", "summary"), "This document:\n"
 UNIT = "struct<i:int,text:string,cache_key:string,translation:string,chunk:int,source:string>"
 RUN = f"units array<{UNIT}>, terms map<string,string>, forms map<string,string>, chunks int, asked int"
 
@@ -38,8 +40,9 @@ class ChunkService(Protocol):
 
 def preface(facts: dict[str, str] | None) -> str:
     """What never changes while a document is translated, so that a service may keep it."""
-    lines = [f"{k.capitalize()}: {facts[k]}" for k in ("title", "field", "topic", "summary") if (facts or {}).get(k)]
-    return "This document:\n" + "\n".join(lines) + "\n\n" if lines else ""
+    known = facts or {}
+    said = "".join(f"{name.capitalize()}: {known[name]}\n" for name in DESCRIBED if known.get(name))
+    return f"{HEAD}{said}\n" if said else ""
 
 
 def chunk_numbers(sizes: list[int], limit: int) -> list[int]:
@@ -66,10 +69,12 @@ def checked(raw: str, wanted: set[int]) -> tuple[dict[int, str], dict] | None:
     """Translations by id, and the whole reply, if it answers for exactly the ids wanted and no text is blank."""
     try:
         reply = json.loads(raw)
-        got = {int(s["id"]): str(s["text"]) for s in reply["segments"]}
+        said = [(int(s["id"]), str(s["text"])) for s in reply["segments"]]
     except (ValueError, TypeError, KeyError):
         return None
-    return (got, reply) if set(got) == wanted and all(t.strip() for t in got.values()) else None
+    answers = dict(said)
+    blank = any(not t or t.isspace() for t in answers.values())
+    return None if blank or answers.keys() ^ wanted else (answers, reply)
 
 
 def fold(units: list[dict], facts: dict[str, str] | None, service: ChunkService, limit: int = P.CHUNK_CHARS, tries: int = TRIES, stop: Callable[[], bool] | None = None) -> dict:

@@ -22,6 +22,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -75,6 +76,10 @@ class Vocabulary:
         #: by a token's bytes: the token inside a piece, and the one at its end
         self.named = {t: (self.inner.get(t), self.final.get(t)) for t in {**self.inner, **self.final}}
         self.longest = max(map(len, self.named))
+        self.automaton = ahocorasick.Automaton()
+        for t, both in self.named.items():
+            self.automaton.add_word(t.decode("latin-1"), (len(t), *both))
+        self.automaton.make_automaton()
         self.known: dict[tuple[int, int], bool] = {}
 
     def apart(self, left: int, right: int) -> bool:
@@ -108,7 +113,33 @@ class Run:
     def __init__(self, words: Vocabulary, raw: bytes = b""):
         self.words, self.raw, self.last, self.counts, self.totals = words, b"", [None], [0], [0]
         if raw:
-            self.extend(raw)
+            self.fill(raw)
+
+    def fill(self, raw: bytes) -> None:
+        """The table of a whole piece; the automaton names only the stretches that are tokens, those with one end after another."""
+        apart, known, n = self.words.apart, self.words.known, len(raw)
+        self.raw, self.last, self.counts, self.totals = raw, [None] * (n + 1), [0] + [None] * n, [0] + [None] * n
+        last, counts, totals = self.last, self.counts, self.totals
+        for end, (size, inner, final) in self.words.automaton.iter(raw.decode("latin-1")):
+            end += 1
+            start = end - size
+            if not start:
+                if inner is not None:
+                    last[end], counts[end] = inner, 1
+                if final is not None:
+                    totals[end] = 1
+                continue
+            before = last[start]
+            if before is None:
+                continue  # no token ends here
+            if inner is not None and last[end] is None:
+                fits = known.get((before, inner))
+                if fits or (fits is None and apart(before, inner)):
+                    last[end], counts[end] = inner, counts[start] + 1
+            if final is not None and totals[end] is None:
+                fits = known.get((before, final))
+                if fits or (fits is None and apart(before, final)):
+                    totals[end] = counts[start] + 1
 
     def extend(self, more: bytes) -> None:
         raw = self.raw = self.raw + more

@@ -231,14 +231,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, seed: int = 42, t: int =
     return together.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- similar documents: long sketches, many covers of short parts of them, candidates told by the whole sketch, links confirmed by shingles
+# ---- similar documents: long sketches, many covers of short parts of them, candidates told by the whole sketch, links
+# confirmed by shingles; then all pairs that may still be links
 
 #: Bits of a sketch, in lanes of 64; expected share of equal documents' pairs that meet in one table or more.
 LANES, RECALL = 4, 0.95
 #: Deviations above the bits expected at the threshold within which a pair's shingles are compared; deviations below
 #: them from which a pair is taken to be confirmed when it is compared.
 SPREAD, SURE = 3.5, 1.5
-#: Tables that give a pair: other pairs join the two in further ones.
+#: Tables that give a pair: other pairs join the two in further ones, or the second pass does.
 MEETINGS = 3
 #: Nodes whose digests are broadcast, 60 bytes each; more are met by a shuffle.
 BROADCAST_DIGESTS = 100_000
@@ -260,28 +261,31 @@ def plan_tables(n_nodes: int, similarity: float, t: int) -> tuple[int, int]:
     return max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet)))), exact
 
 
-def sketch(text: str | None, words: int, seed: int) -> bytes:
-    """Bitwise majority of the shingles' hashes in LANES * 64 bits, each lane mixed from the same hash."""
+def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """The 64-bit hash of each shingle, repeats included."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return bytes(8 * LANES)
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
     first, last, digest = starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)]), np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Bitwise majority of the shingles' hashes in LANES * 64 bits, each lane mixed from the same hash."""
     sums = np.zeros(64 * LANES, np.int64)
-    for at in range(0, n, SHINGLES // LANES):
-        raw = b"".join([digest(joined[a:b], seed) for a, b in zip(first[at : at + SHINGLES // LANES], last[at : at + SHINGLES // LANES], strict=True)])
-        h = np.frombuffer(raw, np.uint64)
-        lanes = []
+    for at in range(0, len(hashes), SHINGLES // LANES):
+        h, lanes = hashes[at : at + SHINGLES // LANES], []
         for k in range(LANES):
             x = (h ^ np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             lanes.append(x ^ (x >> np.uint64(32)))
         bits = np.unpackbits(np.ascontiguousarray(np.stack(lanes, axis=1)).view(np.uint8).reshape(len(h), 8 * LANES), axis=1)
         sums += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(sums * 2 > n).tobytes()
+    return np.packbits(sums * 2 > len(hashes)).tobytes()
 
 
 def shingles(text: str | None, words: int) -> frozenset[bytes]:
@@ -421,6 +425,185 @@ def _grid(rows: DataFrame, heavy: DataFrame, node: str) -> DataFrame:
     return whole.unionByName(at_home.unionByName(visits).select(cell.alias("bucket"), "home", *rest))
 
 
+# ---- the links that sketches miss: prefixes of the shingles in one order of all, and bounds that no link breaks
+
+#: One text in this many tells which shingles are frequent; seen this often there, one comes late in the order; how many
+#: are listed. These set the time that it takes, not the links that are found.
+EVERY, OFTEN, MOST = 8, 8, 200_000
+#: Parts of a set at most whose parities are kept.
+PARTS = 1 << 16
+#: Rows of a bucket up to which all buckets are compared together, row by row at a growing distance.
+SMALL = 64
+
+
+def least_overlap(sizes, similarity: float):
+    """Common elements that two sets of ``sizes`` elements in all have at least, if their Jaccard similarity is ``similarity``."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-6).astype(np.int64)
+
+
+class Order:
+    """One order of all shingles: by their hash, frequent ones last, the rarest of these first."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        by_value = np.argsort(values)
+        rank = np.empty(len(values), np.int64)
+        rank[np.lexsort((values, counts))] = np.arange(len(values))
+        self.values, self.rank = values[by_value], rank[by_value]
+
+    def sort(self, some: np.ndarray) -> np.ndarray:
+        """``some``, ascending by value, in this order."""
+        if not len(self.values):
+            return some
+        at = np.minimum(np.searchsorted(self.values, some), len(self.values) - 1)
+        late = self.values[at] == some
+        return np.concatenate((some[~late], some[late][np.argsort(self.rank[at[late]])]))
+
+
+def marks(hashes: np.ndarray, similarity: float, order: Order) -> tuple[bytes, bytes]:
+    """Of a set of shingles: its size and the parities of parts of it, about as many as shingles; its first ones in the order.
+
+    Of two sets with at least this similarity, each has a common element among its first
+    ``size - ceil(similarity * size) + 1``, as fewer are left behind these than must be common.
+    """
+    own = np.unique(hashes)
+    parts = min(max(64 * LANES, 1 << max(0, len(own) - 1).bit_length()), PARTS)
+    parity = np.packbits(np.bincount((own & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1).view(np.uint64)
+    first = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1 if len(own) else 0
+    return np.concatenate((np.array([len(own)], np.uint64), parity)).tobytes(), order.sort(own)[:first].tobytes()
+
+
+def folded(parity: np.ndarray, lanes: int) -> np.ndarray:
+    """The parities of fewer, larger parts."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, lanes), axis=0)
+
+
+def _frequent(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """bucket, n: shingles that ``OFTEN`` or more of one in ``EVERY`` texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                held = [np.unique(shingle_hashes(x, words, seed)) for x in batch.column(0).slice(at, 256).to_pylist()]
+                value, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["bucket", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("digest"), F.lit(EVERY)) == 0).select("text")
+    counts = some.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return cut(counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "bucket").limit(MOST))
+
+
+def _unlinked(similarity: float):
+    """mapInArrow over rows (bucket, home, node, root, size, rest and parities) sorted by bucket, homes first.
+
+    All pairs of nodes with different roots that may be as similar as that: behind the first element that
+    they share there are enough others in both, and no more parts of odd difference than they may differ in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(bucket, home, node, root, size, rest, lanes) -> pa.RecordBatch:
+            def may(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                own = root[i] != root[j]
+                i, j = i[own], j[own]
+                both = size[i] + size[j]
+                least = least_overlap(both, similarity)
+                own = np.minimum(rest[i], rest[j]) >= least
+                i, j, most = i[own], j[own], (both - 2 * least)[own]
+                own = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64) <= most
+                return i[own], j[own]
+
+            edge = np.flatnonzero(np.diff(bucket)) + 1
+            start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(bucket)]))
+            left = np.repeat(end, end - start) - np.arange(len(bucket))
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            p, away = np.flatnonzero(home & np.repeat(end - start <= SMALL, end - start)), 0
+            while len(p):
+                away += 1
+                p = p[left[p] > away]
+                found.append(may(p, p + away))
+            for s, e in zip(*(x[end - start > SMALL].tolist() for x in (start, end)), strict=True):
+                names, name = np.unique(root[s:e], return_inverse=True)
+                most = name == np.bincount(name).argmax()  # of the largest group no two are compared
+                homes = np.flatnonzero(home[s:e])
+                for a, b in ((homes[~most[homes]], np.arange(e - s)), (homes[most[homes]], np.flatnonzero(~most))):
+                    step = max(1, CELLS // (8 * max(1, len(b))))
+                    for at in range(0, len(a) if len(b) else 0, step):
+                        i, j = (x.ravel() for x in np.broadcast_arrays(a[at : at + step, None], b[None, :]))
+                        found.append(may(s + i, s + j))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            pairs = np.unique(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            new = [*c[:4], c[4].astype(np.int64), c[5].astype(np.int64), np.stack(c[6:], axis=1).view(np.uint64)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            done = int(np.searchsorted(held[0], held[0][-1]))
+            if done:
+                yield work(*[x[:done] for x in held])
+                held = [x[done:] for x in held]
+        if held:
+            yield work(*held)
+
+    return run
+
+
+def _across(placed: DataFrame, frequent: DataFrame, similarity: float, partitions: int) -> DataFrame:
+    """a, b: every pair of nodes in different groups of ``placed`` (node, root, parity, shingles) that may be linked."""
+    names = ["bucket", "home", "node", "root", "size", "rest", *(f"lane{k}" for k in range(LANES))]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                seen, held = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+                n = np.array([len(x) for x in held])
+                row = np.repeat(np.arange(len(held)), n)
+                size, lanes = np.array([x[0] for x in seen]).astype(np.int32)[row], np.stack([folded(x[1:], LANES) for x in seen]).view(np.int64)[row]
+                rest = (size - np.concatenate([np.arange(k) for k in n])).astype(np.int32)
+                take = pa.array(row)
+                columns = [pa.array(np.concatenate(held).view(np.int64)), pa.array(np.ones(len(row), bool)), batch.column(0).take(take), batch.column(1).take(take), pa.array(size), pa.array(rest)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(lanes[:, k].copy()) for k in range(LANES)], names=names)
+
+    schema = "bucket long, home boolean, node long, root long, size int, rest int, " + ", ".join(f"{x} long" for x in names[6:])
+    parts = F.ceil(F.col("n") * EVERY / HEAVY).cast("int")
+    heavy = cut(frequent.select("bucket", parts.alias("parts")).where("parts > 1"))
+    rows = _grid(placed.select("node", "root", "parity", "shingles").mapInArrow(emit, schema), heavy, "node")
+    dealt = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", F.desc("home"))
+    return cut(dealt.mapInArrow(_unlinked(similarity), "a long, b long").distinct())
+
+
+def _with_ends(pairs: DataFrame, held: DataFrame, value: str) -> DataFrame:
+    """``pairs`` (a, b) with ``value`` of both as x and y; ``held`` has node, uses (in pairs) and it."""
+    n = pairs.count()
+    for end, name in (("b", "y"), ("a", "x")):
+        pairs = join_hot(pairs, held.select(F.col("node").alias(end), "uses", F.col(value).alias(name)), end, "uses", n)
+    return pairs.select("a", "b", "x", "y")
+
+
+def _uses(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("uses"))
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets' parities don't show that they differ too much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both, lanes = int(x[0]) + int(y[0]), min(len(x), len(y)) - 1
+                odd = int(np.bitwise_count(folded(x[1:], lanes) ^ folded(y[1:], lanes)).sum(dtype=np.int64))
+                good.append(odd <= both - 2 * int(least_overlap(both, similarity)))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    held = cut(nodes.join(_uses(pairs), "node").select("node", "uses", "parity"))
+    return cut(_with_ends(pairs, held, "parity").mapInArrow(run, "a long, b long"))
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, total: int, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts' shingles have a Jaccard similarity of ``similarity`` or more."""
 
@@ -435,33 +618,48 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, total: int,
                     good.append(jaccard(held[a], shingles(y, words)) >= similarity)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("uses"))
-    wanted = small_side(cut(nodes.join(ends, "node").select("node", "digest", "uses")), BROADCAST_DIGESTS)
+    wanted = small_side(cut(nodes.join(_uses(pairs), "node").select("node", "digest", "uses")), BROADCAST_DIGESTS)
     # one text stands for a node: that of the digest that names it
     found = cut(docs.join(wanted, "digest").groupBy("node", "uses").agg(F.first("text").alias("text")))
-    n = pairs.count()
-    for end, name in (("b", "y"), ("a", "x")):
-        pairs = join_hot(pairs, found.select(F.col("node").alias(end), "uses", F.col("text").alias(name)), end, "uses", n)
-    return cut(pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    return cut(_with_ends(pairs, found, "text").mapInArrow(run, "a long, b long"))
+
+
+def _let_go(spark) -> None:
+    """Have the shuffles of jobs that are done deleted: the context does so when the driver's heap is collected."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, key: str, text: str) -> DataFrame:
-    """doc_id, digest (of the text), component_id, first (the row that stands for the group) for each row."""
+    """doc_id, digest (of the text), component_id, first (the row that stands for the group) for each row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sketches link most of a group at little cost; every pair of what they leave in different groups that can
+    be linked at all is compared then, so no link is lost.
+    """
+    texts = docs.select(F.col(key).alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    frequent = _frequent(texts, words, seed)
+    listed = frequent.toArrow()
+    order = Order(listed["bucket"].to_numpy().view(np.uint64), listed["n"].to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.column(2).to_pylist()
             both = [xxhash.xxh3_128_digest(b" ".join((x or "").encode().lower().split()), seed) for x in some]
             node, check = np.frombuffer(b"".join(both), ">i8").astype(np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.copy()), pa.array(check.copy()), pa.array([sketch(x, words, seed) for x in some], pa.binary())], names=["doc_id", "digest", "node", "check", "sketch"])
-
-    texts = docs.select(F.col(key).alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("digest", T.StringType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    prints = cut(texts.mapInArrow(run, schema))
+            columns = [batch.column(0), batch.column(1), pa.array(node.copy()), pa.array(check.copy())]
+            if whole:
+                seen = [(sketch(h), *marks(h, similarity, order)) for h in (shingle_hashes(x, words, seed) for x in some)]
+                columns += [pa.array([x[k] for x in seen], pa.binary()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+
+    names = ["doc_id", "digest", "node", "check", "sketch", "parity", "shingles"]
+    types = [docs.schema[key].dataType, T.StringType(), T.LongType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.BinaryType()]
+    fields = [T.StructField(name, kind) for name, kind in zip(names, types, strict=True)]
+    prints = cut(texts.mapInArrow(run, T.StructType(fields[:4])))
     # rows of the same words are one node; should others share its number, by chance, they stay by themselves
     first = F.min(F.struct("check", F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
-    nodes = prints.groupBy("node").agg(F.min_by("sketch", "check").alias("sketch"), first.alias("first"), F.count("*").alias("n"))
-    nodes = cut(nodes.withColumn("digest", F.col("first.digest")))
+    nodes = texts.mapInArrow(lambda batches: run(batches, True), T.StructType(fields)).groupBy("node").agg(F.min_by(F.struct(*names[4:]), "check").alias("seen"), first.alias("first"), F.count("*").alias("n"))
+    nodes = cut(nodes.select("node", "seen.*", "first", "n", F.col("first.digest").alias("digest")))
+    _let_go(docs.sparkSession)
     n_nodes, total = nodes.count(), prints.count()
     tables = Tables(*plan_tables(n_nodes, similarity, t), t, seed)
     p = differing_share(similarity)
@@ -494,12 +692,19 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
     pairs = dealt.mapInArrow(_candidates(limit, sure, tables), "a long, b long")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = components(_confirmed(pairs, nodes, texts, total, words, similarity))
+    _let_go(docs.sparkSession)
+    placed = nodes.join(small_side(roots, BROADCAST_DIGESTS), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "parity", "shingles")
+    across = _across(placed, frequent, similarity, n)
+    _let_go(docs.sparkSession)
+    missed = _confirmed(_bounded(across, nodes, similarity), nodes, texts, total, words, similarity)
+    if not missed.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed))
     named = nodes.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     lowest = F.min(F.struct(F.col("first.no_id").alias("no_id"), F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest")))
     groups = named.groupBy("root").agg(lowest.alias("lowest"), F.count("*").alias("members"))
-    names = cut(join_hot(cut(named), groups, "root", "members", n_nodes).select("node", "n", F.col("first.check").alias("of"), "lowest"))
+    known = cut(join_hot(cut(named), groups, "root", "members", n_nodes).select("node", "n", F.col("first.check").alias("of"), "lowest"))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    out = join_hot(prints.drop("sketch"), names, "node", "n", total).withColumn("first", F.when(F.col("check") == F.col("of"), F.col("lowest")).otherwise(own))
+    out = join_hot(prints, known, "node", "n", total).withColumn("first", F.when(F.col("check") == F.col("of"), F.col("lowest")).otherwise(own))
     return out.select("doc_id", "digest", F.col("first.doc_id").alias("component_id"), "first")
 
 

@@ -83,6 +83,61 @@ def test_recall_of_near_copies(spark):
     assert all(want[a] == want[i] for i, a in got.items())
 
 
+def close_families(rng, families, members, n=200):
+    """Rows of families whose pairs lie on both sides of 0.8, and the groups that all pairs by brute force give."""
+    rows = []
+    for _ in range(families):
+        one = text(rng, n)
+        for _ in range(members):
+            rows.append((len(rows), " ".join(edited(rng, one, rng.choice((1, 2, 3, 4, 5))))))
+    rows += [(len(rows) + i, t) for i, t in enumerate(("x x x x x", "X x x x x x  x x", "y", "y z", "", " ", "a b c d e f g h i j", "j a b c d e f g h i j"))]
+    sets = [simhash.shingles(t, 5) for _, t in rows]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if simhash.jaccard(sets[a], sets[b]) >= 0.8]
+    return rows, roots(range(len(rows)), edges)
+
+
+@pytest.mark.parametrize("how", [{}, {"SMALL": 2}, {"SMALL": 2, "HEAVY": 3, "EVERY": 1, "OFTEN": 2}])
+def test_no_link_hangs_on_sketches(spark, monkeypatch, how):
+    """Where sketches name no candidate at all, the groups are those of brute force all the same."""
+    monkeypatch.setattr(simhash, "SPREAD", -99)
+    for name, value in how.items():
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rows, want = close_families(random.Random(5), 5, 10)
+    assert 10 < len(set(want.values())) < len(rows) - 10
+    assert groups(spark, rows) == want
+
+
+def test_every_link_at_the_threshold(spark):
+    """400 pairs of 0.8 to 0.82: each is one group."""
+    rng, rows = random.Random(6), []
+    while len(rows) < 800:
+        one = text(rng, 95)
+        two = edited(rng, one, 2)
+        if 0.8 <= simhash.jaccard(*(simhash.shingles(" ".join(x), 5) for x in (one, two))) <= 0.82:
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    got = groups(spark, rows)
+    assert [i for i in range(0, 800, 2) if not got[i] == got[i + 1] == i] == []
+
+
+def test_marks_hold_for_all_similar_sets():
+    rng = np.random.default_rng(7)
+    for _ in range(2000):
+        both = int(rng.choice((30, 300, 900)) * rng.random()) + 1
+        a, b = rng.integers(0, both // 5 + 2, 2)
+        own = rng.integers(0, 1 << 63, both + a + b).astype(np.uint64)
+        x, y = own[: both + a], np.concatenate((own[:both], own[both + a :]))
+        late = rng.permutation(own)[: rng.integers(0, len(own))]
+        order = simhash.Order(late, rng.integers(1, 4, len(late)))
+        if both / len(own) >= 0.8:
+            (p, first), (q, second) = ([np.frombuffer(v, np.uint64) for v in simhash.marks(z, 0.8, order)] for z in (x, y))
+            assert (p[0], q[0]) == (len(x), len(y))
+            least, first, second = simhash.least_overlap(len(x) + len(y), 0.8), first.tolist(), second.tolist()
+            shared = next(v for v in first if v in second)
+            assert min(len(x) - first.index(shared), len(y) - second.index(shared)) >= least
+            for lanes in (4, min(len(p), len(q)) - 1):
+                assert np.bitwise_count(simhash.folded(p[1:], lanes) ^ simhash.folded(q[1:], lanes)).sum(dtype=int) <= len(x) + len(y) - 2 * least
+
+
 def test_forest():
     rng = np.random.default_rng(3)
     for _ in range(50):

@@ -18,6 +18,7 @@ their component; a null id takes part but never names a component unless all its
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_hot, small_side
+from .common import cut, join_hot, release, small_side
 from .graph import components
 
 #: Fixed values of the binary Golay code: block length, covering radius, generator polynomial.
@@ -243,6 +244,8 @@ SPREAD, SURE = 3.5, 1.5
 MEETINGS = 3
 #: Nodes whose digests are broadcast, 60 bytes each; more are met by a shuffle.
 BROADCAST_DIGESTS = 100_000
+#: Tables whose rows are on disk at a time.
+AT_ONCE = 5
 #: Nodes that anchors of 23 bits alone tell apart well enough; beyond, tables add exact bits and grow in number.
 PLAIN_NODES = 1 << 18
 
@@ -389,7 +392,8 @@ def _candidates(limit: int, sure: int, tables: Tables):
             a, b = np.concatenate(a), np.concatenate(b)
             # close pairs meet in most tables; what joins them in the first one is as close, so there they are linked already
             far = np.bitwise_count(lanes[a] ^ lanes[b]).sum(axis=1, dtype=np.int64)
-            own = tables.met_before(lanes[a], lanes[b], table[a], golay) < np.where(far <= sure, 1, MEETINGS)
+            met = [tables.met_before(lanes[a[k : k + 2048]], lanes[b[k : k + 2048]], table[a[k : k + 2048]], golay) for k in range(0, len(a), 2048)]
+            own = np.concatenate([np.zeros(0, np.int64), *met]) < np.where(far <= sure, 1, MEETINGS)
             return pa.RecordBatch.from_arrays([pa.array(node[a[own]]), pa.array(node[b[own]])], names=["a", "b"])
 
         held = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64), np.zeros(0, np.int32)]
@@ -403,6 +407,7 @@ def _candidates(limit: int, sure: int, tables: Tables):
                 held = [x[done:] for x in held]
         if len(held[0]):
             yield work(*held)
+        release()
 
     return run
 
@@ -432,6 +437,9 @@ def _grid(rows: DataFrame, heavy: DataFrame, node: str) -> DataFrame:
 EVERY, OFTEN, MOST = 8, 8, 200_000
 #: Parts of a set at most whose parities are kept.
 PARTS = 1 << 16
+#: Bytes of a shingle's hash that tell it from others until rows of shared ones are made; slots a partition that hashes are
+#: dealt to; hashes dealt at a time.
+LOW, SLOTS, DEALT = 5, 8, 1 << 19
 #: Rows of a bucket up to which all buckets are compared together, row by row at a growing distance.
 SMALL = 64
 
@@ -450,13 +458,18 @@ class Order:
         rank[np.lexsort((values, counts))] = np.arange(len(values))
         self.values, self.rank = values[by_value], rank[by_value]
 
-    def sort(self, some: np.ndarray) -> np.ndarray:
-        """``some``, ascending by value, in this order."""
+    def late(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``some`` are frequent; the ranks of these."""
         if not len(self.values):
-            return some
+            return np.zeros(len(some), bool), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.values, some), len(self.values) - 1)
         late = self.values[at] == some
-        return np.concatenate((some[~late], some[late][np.argsort(self.rank[at[late]])]))
+        return late, self.rank[at[late]]
+
+    def sort(self, some: np.ndarray) -> np.ndarray:
+        """``some``, ascending by value, in this order."""
+        late, rank = self.late(some)
+        return np.concatenate((some[~late], some[late][np.argsort(rank)]))
 
 
 def marks(hashes: np.ndarray, similarity: float, order: Order) -> tuple[bytes, bytes]:
@@ -546,31 +559,123 @@ def _unlinked(similarity: float):
                 held = [x[done:] for x in held]
         if held:
             yield work(*held)
+        release()
+
+    return run
+
+
+def _pieces(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Stretches of rows with at most ``most`` elements each, or one row with more."""
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        out.append((at, stop))
+        at = stop
+    return out
+
+
+def _deal(slots: int, order: Order):
+    """mapInArrow over rows (node, root, shingles): of each slot the low bytes of all but frequent shingles, their nodes, and the roots that are other nodes.
+
+    One row holds those of many texts: first the shingles of nodes that are roots, then the others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, root = (batch.column(k).to_numpy() for k in range(2))
+            held = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            for low, high in _pieces(np.array([len(x) for x in held], np.int64), DEALT):
+                own = np.concatenate(held[low:high])
+                row = np.repeat(np.arange(low, high), [len(x) for x in held[low:high]])
+                rare = ~order.late(own)[0]
+                own, row = own[rare], row[rare]
+                if not len(own):
+                    continue
+                slot, other = ((own >> np.uint64(8 * LOW)) % np.uint64(slots)).astype(np.int64), node[row] != root[row]
+                by = np.argsort(2 * slot + other, kind="stable")
+                own, row, slot, other = own[by], row[by], slot[by], other[by]
+                start = np.concatenate(([0], np.flatnonzero(np.diff(slot)) + 1))
+                end = np.concatenate((start[1:], [len(slot)]))
+                some, first = row[other], np.concatenate(([0], np.cumsum(other)))
+                short = np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW])
+                columns = [[x[s:e].tobytes() for s, e in zip(start, end, strict=True)] for x in (short, node[row])]
+                columns.append([root[some[first[s] : first[e]]].tobytes() for s, e in zip(start, end, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(slot[start]), *(pa.array(x, pa.binary()) for x in columns)], names=["slot", "low", "nodes", "roots"])
+        release()
 
     return run
 
 
-def _across(placed: DataFrame, frequent: DataFrame, similarity: float, partitions: int) -> DataFrame:
-    """a, b: every pair of nodes in different groups of ``placed`` (node, root, parity, shingles) that may be linked."""
+def _common():
+    """mapInArrow over the rows of ``_deal`` sorted by slot: node, low of what nodes of two roots or more have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+            node = np.frombuffer(b"".join(x[1] for x in rows), np.int64)
+            low = np.zeros((len(node), 8), np.uint8)
+            low[:, :LOW] = np.frombuffer(b"".join(x[0] for x in rows), np.uint8).reshape(-1, LOW)
+            low, root, at = low.view("<u8").ravel().astype(np.int64), node.copy(), 0
+            for _, nodes, roots in rows:
+                at += len(nodes) // 8
+                root[at - len(roots) // 8 : at] = np.frombuffer(roots, np.int64)
+            by = np.argsort(low, kind="stable")
+            low, node, root = low[by], node[by], root[by]
+            start = np.concatenate(([0], np.flatnonzero(np.diff(low)) + 1))
+            many = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+            own = np.repeat(many, np.diff(np.concatenate((start, [len(low)]))))
+            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(low[own])], names=["node", "low"])
+
+        slot, held = None, []
+        for batch in batches:
+            for now, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != slot and held:
+                    yield work(held)
+                    held = []
+                slot = now
+                held.append(row)
+        if held:
+            yield work(held)
+        release()
+
+    return run
+
+
+def _across(placed: DataFrame, frequent: DataFrame, order: Order, similarity: float, partitions: int) -> DataFrame:
+    """a, b: every pair of nodes in different groups of ``placed`` (node, root, parity, shingles) that may be linked.
+
+    Most shingles stand in one group alone. A few bytes of each tell which; only of the others are rows made.
+    """
     names = ["bucket", "home", "node", "root", "size", "rest", *(f"lane{k}" for k in range(LANES))]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                seen, held = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
-                n = np.array([len(x) for x in held])
-                row = np.repeat(np.arange(len(held)), n)
+        for batch in batches:
+            seen, held = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+            for low, high in _pieces(np.array([len(x) for x in held], np.int64), DEALT):
+                row, value, rest = [], [], []
+                for k, also in zip(range(low, high), batch.column(4).slice(low, high - low), strict=True):
+                    own = order.late(held[k])[0]
+                    if also.is_valid:
+                        own |= np.isin((held[k] & np.uint64((1 << 8 * LOW) - 1)).view(np.int64), also.values.to_numpy())
+                    own = np.flatnonzero(own)
+                    row.append(np.full(len(own), k))
+                    value.append(held[k][own])
+                    rest.append(int(seen[k][0]) - own)
+                row = np.concatenate(row)
                 size, lanes = np.array([x[0] for x in seen]).astype(np.int32)[row], np.stack([folded(x[1:], LANES) for x in seen]).view(np.int64)[row]
-                rest = (size - np.concatenate([np.arange(k) for k in n])).astype(np.int32)
                 take = pa.array(row)
-                columns = [pa.array(np.concatenate(held).view(np.int64)), pa.array(np.ones(len(row), bool)), batch.column(0).take(take), batch.column(1).take(take), pa.array(size), pa.array(rest)]
+                columns = [pa.array(np.concatenate(value).view(np.int64)), pa.array(np.ones(len(row), bool)), batch.column(0).take(take), batch.column(1).take(take), pa.array(size), pa.array(np.concatenate(rest).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(lanes[:, k].copy()) for k in range(LANES)], names=names)
+        release()
 
+    some = placed.select("node", "root", "shingles").mapInArrow(_deal(SLOTS * partitions, order), "slot long, low binary, nodes binary, roots binary")
+    common = some.repartition(partitions, "slot").sortWithinPartitions("slot").mapInArrow(_common(), "node long, low long")
+    common = cut(common.groupBy("node").agg(F.collect_list("low").alias("also")))
+    _let_go(placed.sparkSession)
     schema = "bucket long, home boolean, node long, root long, size int, rest int, " + ", ".join(f"{x} long" for x in names[6:])
     parts = F.ceil(F.col("n") * EVERY / HEAVY).cast("int")
     heavy = cut(frequent.select("bucket", parts.alias("parts")).where("parts > 1"))
-    rows = _grid(placed.select("node", "root", "parity", "shingles").mapInArrow(emit, schema), heavy, "node")
+    placed = placed.join(small_side(common), "node", "left").select("node", "root", "parity", "shingles", "also")
+    rows = _grid(placed.mapInArrow(emit, schema), heavy, "node")
     dealt = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", F.desc("home"))
     return cut(dealt.mapInArrow(_unlinked(similarity), "a long, b long").distinct())
 
@@ -599,6 +704,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
                 odd = int(np.bitwise_count(folded(x[1:], lanes) ^ folded(y[1:], lanes)).sum(dtype=np.int64))
                 good.append(odd <= both - 2 * int(least_overlap(both, similarity)))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        release()
 
     held = cut(nodes.join(_uses(pairs), "node").select("node", "uses", "parity"))
     return cut(_with_ends(pairs, held, "parity").mapInArrow(run, "a long, b long"))
@@ -617,6 +723,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, total: int,
                         held = {a: shingles(x, words)}  # rows of one hub mostly stand together
                     good.append(jaccard(held[a], shingles(y, words)) >= similarity)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        release()
 
     wanted = small_side(cut(nodes.join(_uses(pairs), "node").select("node", "digest", "uses")), BROADCAST_DIGESTS)
     # one text stands for a node: that of the digest that names it
@@ -626,6 +733,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, total: int,
 
 def _let_go(spark) -> None:
     """Have the shuffles of jobs that are done deleted: the context does so when the driver's heap is collected."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -650,6 +758,7 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
                 seen = [(sketch(h), *marks(h, similarity, order)) for h in (shingle_hashes(x, words, seed) for x in some)]
                 columns += [pa.array([x[k] for x in seen], pa.binary()) for k in range(3)]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+        release()
 
     names = ["doc_id", "digest", "node", "check", "sketch", "parity", "shingles"]
     types = [docs.schema[key].dataType, T.StringType(), T.LongType(), T.LongType(), T.BinaryType(), T.BinaryType(), T.BinaryType()]
@@ -665,14 +774,14 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
     p = differing_share(similarity)
     limit, sure = (round(64 * LANES * p + by * (64 * LANES * p * (1 - p)) ** 0.5) for by in (SPREAD, -SURE))
 
-    def emit(batches: Iterator[pa.RecordBatch], visit: bool = True) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch], some: range, visit: bool = True) -> Iterator[pa.RecordBatch]:
         golay, n = GolayBlock(t), len(tables.picks)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 node, raw = batch.column(0), batch.column(1)
                 bits = tables.bits(b"".join(raw.to_pylist()))
-                for k in range(n):
+                for k in some:
                     word, more = tables.words(bits, k)
                     if not visit:
                         yield pa.RecordBatch.from_arrays([pa.array(((more * 4096) + golay.home(word)[0]) * n + k)], names=["bucket"])
@@ -683,18 +792,26 @@ def _groups(docs: DataFrame, words: int, similarity: float, t: int, seed: int, k
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.arange(len(rows)) < len(node)), node.take(take), raw.take(take), pa.array(np.full(len(rows), k, np.int32))], names=["bucket", "home", "node", "sketch", "table"])
 
-    some = nodes.select("node", "sketch")
-    at_home = some.mapInArrow(lambda batches: emit(batches, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+    some, every = nodes.select("node", "sketch"), range(len(tables.picks))
+    at_home = some.mapInArrow(lambda batches: emit(batches, every, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
     heavy = cut(at_home.where(F.col("n") > HEAVY).select("bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")))
-    rows = _grid(some.mapInArrow(emit, "bucket long, home boolean, node long, sketch binary, table int"), heavy, "node")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_nodes * len(tables.picks) // 100_000)
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
-    pairs = dealt.mapInArrow(_candidates(limit, sure, tables), "a long, b long")
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = components(_confirmed(pairs, nodes, texts, total, words, similarity))
+
+    def met(now: range) -> DataFrame:
+        rows = _grid(some.mapInArrow(lambda batches: emit(batches, now), "bucket long, home boolean, node long, sketch binary, table int"), heavy, "node")
+        dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("home"))
+        pairs = dealt.mapInArrow(_candidates(limit, sure, tables), "a long, b long")
+        return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    pairs = None
+    for at in range(0, len(every), AT_ONCE):
+        new = met(every[at : at + AT_ONCE])
+        pairs = new if pairs is None else pairs.unionByName(new)
+        _let_go(docs.sparkSession)
+    roots = components(_confirmed(cut(pairs.distinct()), nodes, texts, total, words, similarity))
     _let_go(docs.sparkSession)
     placed = nodes.join(small_side(roots, BROADCAST_DIGESTS), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "parity", "shingles")
-    across = _across(placed, frequent, similarity, n)
+    across = _across(placed, frequent, order, similarity, n)
     _let_go(docs.sparkSession)
     missed = _confirmed(_bounded(across, nodes, similarity), nodes, texts, total, words, similarity)
     if not missed.isEmpty():
@@ -728,6 +845,7 @@ def drop_similar(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, t:
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     gone = groups.where(~is_first).select(*row).distinct()
     again = cut(groups.where(is_first).groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").select("row_id", "row_digest"))
+    _let_go(docs.sparkSession)
 
     def same(some: DataFrame):
         return F.col(key).eqNullSafe(some["row_id"]) & (_digest(text) == some["row_digest"])

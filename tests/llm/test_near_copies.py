@@ -119,6 +119,31 @@ def test_every_link_at_the_threshold(spark):
     assert [i for i in range(0, 800, 2) if not got[i] == got[i + 1] == i] == []
 
 
+@pytest.mark.parametrize("how", [{"LOW": 1, "DEALT": 50}, {"SLOTS": 1, "AT_ONCE": 2, "SPREAD": 3.5}, {"SLOTS": 1, "EVERY": 1, "OFTEN": 2}])
+def test_rows_are_made_of_shared_shingles_alone(spark, monkeypatch, how):
+    """What is dealt by shingle are those that two groups have and frequent ones; sketches are dealt for a few tables at a time."""
+    monkeypatch.setattr(simhash, "SPREAD", -99)
+    for name, value in how.items():
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng, plain, dealt, tables = random.Random(8), simhash._grid, [], []
+
+    def grid(rows, heavy, node):
+        if "rest" in rows.columns:
+            dealt.append(rows.count())
+        else:
+            tables.append(rows.select("table").distinct().count())
+        return plain(rows, heavy, node)
+
+    monkeypatch.setattr(simhash, "_grid", grid)
+    rows, want = close_families(rng, 2, 6)
+    rows += [(len(rows) + i, " ".join(text(rng))) for i in range(100)]
+    want |= {i: i for i, _ in rows[len(want) :]}
+    assert groups(spark, rows) == want
+    assert max(tables) <= 5 and sum(tables) == 9
+    if "LOW" not in how:  # else one byte mostly doesn't tell shingles apart
+        assert dealt[0] < sum(60 for _ in range(100)) / 4
+
+
 def test_marks_hold_for_all_similar_sets():
     rng = np.random.default_rng(7)
     for _ in range(2000):
